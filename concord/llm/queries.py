@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, spm, wavelet
+from . import decontaminate, spm, suffixes, wavelet
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -33,6 +33,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spm.encode_digest(docs, tokenizer_file(PIECE_BPE)).select("doc_id", "spm.*")
@@ -41,6 +45,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_matrix": op1_wavelet_matrix,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_sentencepiece": op6_sentencepiece,
 }
 
