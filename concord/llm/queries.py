@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, spm, suffixes, wavelet
+from . import decontaminate, partenum, spm, suffixes, wavelet
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -42,11 +42,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_digest(docs, tokenizer_file(PIECE_BPE)).select("doc_id", "spm.*")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_matrix": op1_wavelet_matrix,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
