@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, partenum, pii, spm, suffixes, wavelet
+from . import decontaminate, importance, licenses, partenum, pii, spm, suffixes, wavelet
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -50,6 +50,11 @@ def op7_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.draw(importance.score(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii_candidates": op7_pii_candidates,
+    "op9_importance_resampling": op9_importance_resampling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
