@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, licenses, partenum, pii, spm, suffixes, wavelet
+from . import decontaminate, importance, ivfpq, licenses, partenum, pii, spm, suffixes, warc, wavelet
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -41,6 +41,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(table(spark, sf_dir, "pages"))
+    text = F.when(F.col("record_type") == "conversion", F.decode("block", "UTF-8"))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "block_digest", F.octet_length("block").cast("long").alias("n_bytes"), F.size("headers").cast("long").alias("n_headers"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spm.encode_digest(docs, tokenizer_file(PIECE_BPE)).select("doc_id", "spm.*")
@@ -50,6 +56,10 @@ def op7_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return importance.draw(importance.score(docs, table(spark, sf_dir, "labels")))
@@ -64,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii_candidates": op7_pii_candidates,
+    "op8_ivf_pq": op8_ivf_pq,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
