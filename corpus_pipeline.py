@@ -1,6 +1,68 @@
-STAGES = []
+"""A corpus from raw documents to token ids: each stage calls one operator and keeps its decisions.
+
+A stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
+documents.  ``run`` writes each stage's table to the shared folder and reads it back, so a
+later stage never recomputes an earlier one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.llm import common, decontaminate, importance, partenum, pii, spm
+from concord.llm.queries import PIECE_BPE, table, tokenizer_file
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return importance.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id (of rows with that id, the least text)."""
+    found = partenum.jaccard_components(docs)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi")
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    least = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    unnamed = docs.where("doc_id is null")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(least).unionByName(unnamed)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more of the benchmark than the contract's rule allows."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind; n_chars follows where the table has it."""
+    clean = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the SentencePiece ids of each document."""
+    name = common.free_name(docs, "spm")
+    return spm.encode(docs, tokenizer_file(PIECE_BPE), name).select("doc_id", F.col(f"{name}.ids").alias("ids"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", redaction),
+    ("SentencePiece encoding and decoding", tokens),
+]
+
+#: the classifier and the tokenizer are beyond SQL; tests/llm holds the brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
