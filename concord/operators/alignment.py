@@ -199,9 +199,10 @@ def behavioural_drift(baseline: DataFrame, now: DataFrame, tolerance: float = 0.
 def align(docs: DataFrame, ids: list[str], column: str, fields: list[Target]) -> DataFrame:
     """Profile, map, execute, validate one cluster of records: golden columns, issues, conformant."""
     from concord.operators import profile as p
+    from concord.plans.storage import cut
 
-    long = p.cells(docs, ids, column)
-    mapping = infer_mapping(p.profile(long, ids), target_table(docs.sparkSession, fields))
+    long = cut(p.cells(docs, ids, column), "cells")
+    mapping = infer_mapping(cut(p.profile(long, ids), "profile"), target_table(docs.sparkSession, fields))
     pairs = [(r["target"], r["path"]) for r in mapping.where("status = 'mapped'").select("target", "path").orderBy("target").collect()]
     golden = execute(long, ids, pairs, fields)
     found = issues(fields, [t for t, _ in pairs])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import text
 
-DEPTH = 8
+DEPTH = 5
 #: fixed values: bookkeeping fields
 BOOKKEEPING = ["internal_id", "_scraped_at", "scraped_at"]
 

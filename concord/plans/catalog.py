@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from concord.functions import convert, text
 from concord.functions.convert import Target
 from concord.operators import alignment, layout, library, profile, reconcile, reports, retrieval, scoring
+from concord.plans import storage
 from concord.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +74,8 @@ def align_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infer_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = order_records(spark, sf_dir), None
     for style in range(3):
-        p = profile.profile(profile.cells(docs.where(F.col("style") == style), ["o_orderkey"], "record"), ["o_orderkey"])
+        long = storage.cut(profile.cells(docs.where(F.col("style") == style), ["o_orderkey"], "record"), "cells")
+        p = storage.cut(profile.profile(long, ["o_orderkey"]), "profile")
         part = alignment.infer_mapping(p, alignment.target_table(spark, ORDER_FIELDS)).withColumn("style", F.lit(style))
         out = part if out is None else out.unionByName(part)
     return out
