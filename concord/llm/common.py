@@ -38,8 +38,9 @@ def input_bytes(df: DataFrame) -> int:
 
 def partitions(df: DataFrame, target: int = TARGET_BYTES) -> int:
     """As many partitions as the session asks for, or more if they would exceed the target."""
-    size = min(input_bytes(df), 1 << 60)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target))
+    size = input_bytes(df)
+    known = size < 1 << 55  # a plan without statistics says the largest number
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target) if known else 1)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

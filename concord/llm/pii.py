@@ -17,6 +17,7 @@ repeated rows get equal results; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +53,7 @@ SPAN = "struct<s:bigint,e:bigint,m:string,b:string>"
 CONTEXT = 24  # characters before a candidate
 LABELS = r"(?i)(?:pass|pwd|token|secret|key|auth|ssn|social|iban|account|phone|tel|call|mobile|fax)"
 PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|sk-|sk_|xox[abp]-|AIza)"
+VOID = r"^(?:000|666|9[0-9][0-9])-[0-9][0-9]-"  # numbers never issued
 FEATURES = {
     "size": "cast(length(x.m) as double)",
     "digits": "cast(length(regexp_replace(x.m, '[^0-9]', '')) as double) / length(x.m)",
@@ -60,6 +62,7 @@ FEATURES = {
     "marks": "cast(length(regexp_replace(x.m, '[A-Za-z0-9]', '')) as double)",
     "label": f"CASE WHEN x.b RLIKE '{LABELS}' OR x.m RLIKE '^{LABELS}' THEN 1D ELSE 0D END",
     "prefix": f"CASE WHEN x.m RLIKE '{PREFIXES}' THEN 1D ELSE 0D END",
+    "void": f"CASE WHEN x.m RLIKE '{VOID}' THEN 1D ELSE 0D END",
     "turns": "cast(size(split(x.m, '(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])', -1)) as double) / length(x.m)",
 }
 
@@ -72,7 +75,7 @@ def _features(kind: int, text: str, before: str) -> list[float]:
     share = [sum(map(f, text)) / n for f in (lambda c: c in "0123456789", lambda c: "A" <= c <= "Z", lambda c: "a" <= c <= "z")]
     labelled = bool(re.search(LABELS, before) or re.match(LABELS, text))
     turns = len(re.split(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", text)) / n
-    return [float(n), *share, float(sum(not (c.isascii() and c.isalnum()) for c in text)), float(labelled), float(bool(re.search(PREFIXES, text))), turns, float(kind)]
+    return [float(n), *share, float(sum(not (c.isascii() and c.isalnum()) for c in text)), float(labelled), float(bool(re.search(PREFIXES, text))), float(bool(re.search(VOID, text))), turns, float(kind)]
 
 
 def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +117,7 @@ def model(examples_n: int = 4000, precision: float = 0.99) -> tuple[BoostedTrees
     """The trees and their threshold, from ``examples_n`` written examples: a bound that no input moves."""
     x, y = examples(examples_n, 7)
     trees = BoostedTrees().fit(x, y)
-    return trees, round(max(0.5, trees.threshold(x, y, precision)), 6)
+    return trees, math.floor(max(0.5, trees.threshold(x, y, precision)) * 1e6) / 1e6  # not rounded up: many examples stand at the threshold
 
 
 def _spans(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
