@@ -43,7 +43,7 @@ from .shingles import set_ids, shingle_sets, sums
 SHINGLE = 5
 PERCENT = 80
 CELLS = 64
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -199,7 +199,7 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each row of ``docs(doc_id, text)``."""
     docs = common.documents(docs)
-    buckets = common.partitions(docs, 16 << 20)
+    buckets = common.partitions(docs, 8 << 20)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,13 +284,24 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
                 zipped = zstandard.ZstdCompressor(level=3)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([zipped.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "z"])
 
+        def paired(batch: pa.RecordBatch, unzip: zstandard.ZstdDecompressor) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+            """Rows with their texts, as many at a time as hold a megabyte, or one."""
+            begin = held = 0
+            left: list[bytes] = []
+            right: list[bytes] = []
+            for k, (a, b) in enumerate(zip(batch.column("z_a"), batch.column("z_b"), strict=True)):
+                left.append(unzip.decompress(a.as_py()))
+                right.append(unzip.decompress(b.as_py()))
+                held += len(left[-1]) + len(right[-1])
+                if held >= 1 << 20 or k == len(batch) - 1:
+                    yield batch.slice(begin, k + 1 - begin), left + right
+                    begin, held, left, right = k + 1, 0, [], []
+
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unzip = zstandard.ZstdDecompressor()
             for batch in batches:
-                for k in range(0, len(batch), 200):
-                    part = batch.slice(k, 200)
+                for part, texts in paired(batch, unzip):
                     names = [c for x in "ab" for c in part.column(x).to_pylist()]
-                    texts = [unzip.decompress(z) for x in "ab" for z in part.column(f"z_{x}").to_pylist()]
                     data, offsets = common.text_buffer(pa.array(texts, pa.large_binary()))
                     hashes, doc = shingle_sets(data, offsets, shingle)
                     ids, size = set_ids(hashes, doc, len(texts))
