@@ -10,13 +10,14 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case.  The
 plain phrase places and always kept.
 
 Edge cases: a null or empty text has no words, empty labels and score 0; repeated rows get
-equal results; rows of one doc_id with differing texts are kept apart; an empty table gives an
+equal results; rows are told apart by a number given as they are written; an empty table gives an
 empty result; other columns are kept.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,17 @@ def _vocabulary() -> list[str]:
 
 def _lower(text: Column) -> Column:
     """Lower case; of other letters only the Kelvin sign would become ASCII, so it is put out of the way."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "K", "Å"))
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00c5")))
+
+
+def _maybe(low: str) -> Column:
+    """What every text with a base or key phrase fulfils: it holds the phrase's longest word, or the whole phrase where that word is short."""
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    tests = {}
+    for phrase in sorted({tuple(k.split()) for _, k, _ in TEMPLATES} | set(BASE)):
+        word = max(phrase, key=len)
+        tests[word if len(word) > 5 else phrase] = F.contains(low, F.lit(word)) if len(word) > 5 else F.rlike(low, F.lit(gap.join(phrase)))
+    return reduce(Column.__or__, tests.values())
 
 
 def _places(hits: str, phrase: tuple[str, ...]) -> Column:
@@ -66,36 +77,44 @@ def _tagged(places: Column, field: str, value: str) -> Column:
     return F.transform(places, lambda i: F.struct(F.lit(value).alias(field), i.alias("i")))
 
 
-def word_hits(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    words = common.free_name(docs, "words")
-    out = docs.withColumn(words, F.regexp_extract_all(_lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0)))
-    listed = ", ".join(f"'{w}'" for w in _vocabulary())
-    return out.select(
-        "*",
+def facts(docs: DataFrame, keep: list[str], names: dict[str, str]) -> DataFrame:
+    """One reading of the texts, written once: the kept columns, a row number, the number of words,
+    the vocabulary words seen, and, of texts that may hold a phrase, the places of vocabulary words."""
+    low, words, maybe = (common.free_name(docs, f"_{x}") for x in ("low", "words", "maybe"))
+    listed = F.array(*map(F.lit, _vocabulary()))
+    quoted = ", ".join(f"'{w}'" for w in _vocabulary())
+    kept = [F.col(f"`{c}`") for c in keep]
+    hits = names["hits"]
+    none = F.array().cast("array<struct<i:bigint,w:string>>")
+    out = docs.select(*kept, _lower(F.col("text").cast("string")).alias(low))
+    out = out.select(*kept, F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias(words), _maybe(low).alias(maybe))
+    out = out.select(
+        *kept,
+        F.monotonically_increasing_id().alias(names["row"]),
         F.size(words).cast("long").alias(names["n_words"]),
-        F.expr(f"filter(transform(`{words}`, (w, i) -> struct(cast(i as bigint) as i, w as w)), x -> x.w in ({listed}))").alias(names["hits"]),
-    ).drop(words)
+        F.array_intersect(listed, words).alias(names["seen"]),
+        F.when(F.col(maybe), F.expr(f"filter(transform(`{words}`, (w, i) -> struct(cast(i as bigint) as i, w as w)), x -> x.w in ({quoted}))")).otherwise(none).alias(hits),
+    )
+    return common.cut(out, "license")
 
 
-def inverse_frequencies(hits: DataFrame, column: str) -> dict[str, float]:
+def inverse_frequencies(seen: DataFrame, column: str) -> dict[str, float]:
     """IDF of the vocabulary over all documents: as many rows as the vocabulary has words, and one more."""
-    words = F.explode(F.array_append(F.array_distinct(F.transform(column, lambda x: x.w)), F.lit(""))).alias("w")
-    counts = {r["w"]: r["n"] for r in hits.select(words).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    words = F.explode(F.array_append(column, F.lit(""))).alias("w")
+    counts = {r["w"]: r["n"] for r in seen.select(words).groupBy("w").agg(F.count("*").alias("n")).collect()}
     return {w: math.log((1 + counts.get("", 0)) / (1 + counts.get(w, 0))) + 1 for w in _vocabulary()}
 
 
-def scan(docs: DataFrame, name: str = "license") -> DataFrame:
-    """``docs`` with a struct column: n_words, places (of base phrases), base_labels, labels, score."""
+def scan(docs: DataFrame, name: str = "license", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or only its columns ``keep``) with a struct column: n_words, places (of base phrases), base_labels, labels, score."""
     spark = docs.sparkSession
-    given = docs.columns
-    names = {x: common.free_name(docs, f"_{x}") for x in ("n_words", "hits", "base", "keys", "doc", "hash", "found")}
-    hit = word_hits(docs, names)
-    idf = inverse_frequencies(hit, names["hits"])
+    given = docs.columns if keep is None else keep
+    names = {x: common.free_name(docs, f"_{x}") for x in ("row", "n_words", "seen", "hits", "base", "keys")}
+    table = facts(docs, given, names)
+    idf = inverse_frequencies(table, names["seen"])
     base = [_tagged(_places(names["hits"], p), "label", label) for p, label in BASE.items()]
     keys = [_tagged(_places(names["hits"], tuple(k.split())), "key", k) for k in sorted({k for _, k, _ in TEMPLATES})]
-    hit = hit.select("*", F.concat(*base).alias(names["base"]), F.concat(*keys).alias(names["keys"])).select(
-        "*", F.expr("cast(doc_id as bigint)").alias(names["doc"]), F.xxhash64(F.col("text").cast("string")).alias(names["hash"])
-    )
+    hit = table.where(F.size(names["hits"]) > 0).select("*", F.concat(*base).alias(names["base"]), F.concat(*keys).alias(names["keys"]))
 
     # the index: postings of the rare words; its size is that of the templates
     rows = []
@@ -108,18 +127,15 @@ def scan(docs: DataFrame, name: str = "license") -> DataFrame:
 
     rank = ", ".join(f"'{w}', {v!r}D" for w, v in sorted(idf.items()))
     candidates = hit.where(F.size(names["keys"]) > 0).select(
-        F.col(names["doc"]).alias("d"),
-        F.col(names["hash"]).alias("h"),
+        F.col(names["row"]).alias("d"),
         F.col(names["keys"]).alias("keys"),
         F.col(names["hits"]).alias("hits"),
-        F.expr(f"slice(transform(array_sort(transform(array_distinct(transform(`{names['hits']}`, x -> x.w)), w -> struct(-element_at(map({rank}), w) as r, w as w))), x -> x.w), 1, {RARE_WORDS})").alias("rare"),
+        F.expr(f"slice(transform(array_sort(transform(`{names['seen']}`, w -> struct(-element_at(map({rank}), w) as r, w as w))), x -> x.w), 1, {RARE_WORDS})").alias("rare"),
     )
-    looked_up = candidates.select("d", "h", "keys", F.explode(F.expr("filter(hits, x -> array_contains(rare, x.w))")).alias("x"))
-    met = looked_up.join(F.broadcast(index), F.col("x.w") == index["w"]).select("d", "h", "t", "label", "mass", "idf", "p", (F.col("x.i") - F.col("p")).alias("start"), F.expr("exists(keys, k -> k.key = key and k.i = x.i - p + key_at)").alias("verified"))
-    at = met.where("verified").groupBy("d", "h", "t", "start", "p").agg(F.first("label").alias("label"), F.first("mass").alias("mass"), F.first("idf").alias("idf"))
-    whole = at.groupBy("d", "h", "t", "start").agg(F.first("label").alias("label"), F.least(F.lit(1.0), F.round(F.sum("idf") / F.first("mass"), 9)).alias("score"))
-    found = whole.groupBy("d", "h").agg(F.max("score").alias("score"), F.collect_set(F.when(F.col("score") >= ACCEPT, F.col("label"))).alias("more"))
-    joined = hit.join(found, hit[names["doc"]].eqNullSafe(found["d"]) & hit[names["hash"]].eqNullSafe(found["h"]), "left")
+    looked_up = candidates.select("d", "keys", F.explode(F.expr("filter(hits, x -> array_contains(rare, x.w))")).alias("x"))
+    met = looked_up.join(F.broadcast(index), F.col("x.w") == index["w"]).where("exists(keys, k -> k.key = key and k.i = x.i - p + key_at)").select("d", "t", "label", "mass", "idf", (F.col("x.i") - F.col("p")).alias("start"))
+    whole = met.groupBy("d", "t", "start").agg(F.first("label").alias("label"), F.least(F.lit(1.0), F.round(F.sum("idf") / F.first("mass"), 9)).alias("score"))
+    found = whole.groupBy("d").agg(F.max("score").alias("score"), F.collect_set(F.when(F.col("score") >= ACCEPT, F.col("label"))).alias("more"))
     plain = F.array_distinct(F.transform(names["base"], lambda x: x.label))
     result = F.struct(
         F.col(names["n_words"]).alias("n_words"),
@@ -128,7 +144,16 @@ def scan(docs: DataFrame, name: str = "license") -> DataFrame:
         F.array_join(F.array_sort(F.array_union(plain, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-    return joined.select(*[hit[c] for c in given], result.alias(name))
+    joined = hit.join(found, hit[names["row"]] == found["d"], "left").select(*[hit[c] for c in given], result.alias(name))
+    # texts that hold no phrase need no join
+    bare = F.struct(
+        F.col(names["n_words"]).alias("n_words"),
+        F.array().cast("array<struct<label:string,i:bigint>>").alias("places"),
+        F.lit("").alias("base_labels"),
+        F.lit("").alias("labels"),
+        F.lit(0.0).alias("score"),
+    )
+    return joined.unionByName(table.where(F.size(names["hits"]) == 0).select(*[F.col(f"`{c}`") for c in given], bare.alias(name)))
 
 
 def digest(scanned: DataFrame, name: str = "license") -> DataFrame:
