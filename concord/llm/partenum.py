@@ -13,8 +13,9 @@ So no link is lost, and nothing is capped.
 
 Links are then found in rounds, each exact: within a group of equal signatures all are
 compared with its first; connected components are formed; in groups that still hold several
-components, pairs across components are compared, unless a sketch (elements by 64 cells)
-proves them too far apart.  Components, not pairs, are the result, so pairs inside one
+components, pairs across components are compared, unless a sketch proves them too far apart:
+the parity of the elements in each of 2 to 4 cells an element (at most 32,768).  Every cell in
+which two sketches differ holds an element that only one of the sets has.  Components, not pairs, are the result, so pairs inside one
 component need no look.  Equal sets are one node from the start: copies never meet in pairs.
 
 Edge cases: null and empty texts have size 0 and are their own component; fewer than five
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .shingles import set_ids, shingle_sets, sums
 
 SHINGLE = 5
 PERCENT = 80
-CELLS = 64
+MIN_BITS, MAX_BITS = 256, 32768
 FLUSH = 2_000_000
 
 
@@ -123,12 +124,41 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: i
     return np.concatenate([np.zeros(0, U), *signed]), np.concatenate([np.zeros(0, np.int64), *sets])
 
 
-def far_apart(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Where the sketches prove that two sets differ in too many elements."""
-    least = np.abs(a.astype(np.int32) - b.astype(np.int32)).sum(-1)
+def sketches(hashes: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Of each set, the parity of its elements by cell, a bit each; the cells are a power of two."""
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), MIN_BITS, MAX_BITS)
+    end = np.cumsum(bits)
+    cell = (end - bits)[doc] + (mix(hashes) & (bits - 1)[doc].astype(U)).astype(np.int64)
+    raw = np.packbits((np.bincount(cell, minlength=int(end[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[(e - n) // 8 : e // 8] for e, n in zip(end.tolist(), bits.tolist(), strict=True)]
+
+
+def _matrix(blobs: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one length, a row each, folded to so many 64-bit words."""
+    out = np.frombuffer(b"".join(blobs), "<u8").reshape(len(blobs), -1)
+    while out.shape[1] > words:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def far_apart(least: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Where two sets that differ in so many elements at least are too far apart."""
     return least * (100 + percent) > (size_a + size_b) * (100 - percent)
 
 
+def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In so many elements the sets of these sketches differ at least, row by row."""
+    words = np.array([[len(x) // 8, len(y) // 8] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for pair in np.unique(words, axis=0):
+        rows = np.flatnonzero((words == pair).all(1))
+        for part in np.array_split(rows, 1 + len(rows) * int(pair.max()) // (1 << 20)):
+            sides = (_matrix([x[k] for k in part.tolist()], int(pair.min())) for x in (a, b))
+            out[part] = np.bitwise_count(np.bitwise_xor(*sides)).sum(1, dtype=np.int64)
+    return out
+
+
 PAIRS = "a long, b long"
 BLOBS = "k int, blob binary"
 GROUPS = "kind int, blob binary"
@@ -208,9 +238,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
                 n = j - i
                 hashes, doc = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 ids, size = set_ids(hashes, doc, n)
-                sketch = np.bincount(doc * CELLS + (mix(hashes) % U(CELLS)).astype(np.int64), minlength=n * CELLS).astype("<u4").reshape(n, CELLS)
-                narrow = np.minimum(sketch, 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(ids), pa.array(size), pa.array([r.tobytes() for r in narrow], pa.binary())], ["doc_id", "node", "size", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(ids), pa.array(size), pa.array(sketches(hashes, doc, size), pa.binary())], ["doc_id", "node", "size", "sketch"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -264,8 +292,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS) for c in ("sketch_a", "sketch_b"))
-                apart = far_apart(a, b, batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), percent)
+                least = least_difference(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())
+                apart = far_apart(least, batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(~apart))
 
         def side(x: str) -> DataFrame:
@@ -322,16 +350,22 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     def across(pdf: pa.Table) -> pa.Table:
         """Pairs of different components in one group, but those that are too far apart."""
-        pdf = pdf.sort_by("node")
-        node, root, size = (pdf.column(c).to_numpy() for c in ("node", "root", "size"))
-        sketch = np.frombuffer(b"".join(pdf.column("sketch").to_pylist()), "<u2").reshape(-1, CELLS)
+        blobs = pdf.column("sketch").to_pylist()
+        order = sorted(range(len(blobs)), key=lambda k: len(blobs[k]))
+        blobs = [blobs[k] for k in order]
+        node, root, size = (pdf.column(c).to_numpy()[order] for c in ("node", "root", "size"))
+        length = np.array([len(x) for x in blobs])
         a, b = [], []
-        for k in range(len(node) - 1):
-            other = np.arange(k + 1, len(node))
-            other = other[root[other] != root[k]]
-            other = other[~far_apart(sketch[other], sketch[k], size[other], size[k], percent)]
-            a.append(np.full(len(other), node[k]))
-            b.append(node[other])
+        for words in np.unique(length // 8).tolist():  # those from here on are folded to the shortest
+            first, end = np.searchsorted(length // 8, [words, words + 1]).tolist()
+            rest = np.concatenate([_matrix(blobs[i:j], words) for i, j in pairwise([first, *np.flatnonzero(np.diff(length[first:])) + first + 1, len(blobs)])])
+            for k in range(first, min(end, len(blobs) - 1)):
+                other = np.arange(k + 1, len(blobs))
+                other = other[(root[other] != root[k]) & ~far_apart(np.abs(size[other] - size[k]), size[other], size[k], percent)]
+                least = np.bitwise_count(rest[other - first] ^ rest[k - first]).sum(1, dtype=np.int64)
+                other = other[~far_apart(least, size[other], size[k], percent)]
+                a.append(np.minimum(node[other], node[k]))
+                b.append(np.maximum(node[other], node[k]))
         return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
 
     stars = _unpacked(met.where("kind = 0").select("blob")).distinct()

@@ -306,3 +306,16 @@ def test_shingle_sets_of_batches_equal_those_of_single_texts():
     for k, r in enumerate(raw):
         own, _ = shingles.shingle_sets(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
         assert (hashes[doc == k] == own).all()
+
+
+def test_sketches_never_overstate_a_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40 * n, n)).astype(np.uint64) for n in (1, 3, 90, 128, 129, 400, 420, 900, 20_000, 40_000)]
+    made = partenum.sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets]))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    least = partenum.least_difference([made[i] for i, _ in pairs], [made[j] for _, j in pairs])
+    assert all(0 <= n <= len(np.setxor1d(sets[i], sets[j])) and (i != j or n == 0) for n, (i, j) in zip(least.tolist(), pairs, strict=True))
+    size = np.array([len(x) for x in sets])
+    far = partenum.far_apart(least, *size[np.array(pairs)].T, 80)
+    assert far.tolist() == [i != j for i, j in pairs]  # all that differ here differ in nearly everything
+    assert partenum.least_difference([], []).size == 0
