@@ -143,8 +143,8 @@ def _matrix(blobs: list[bytes], words: int) -> np.ndarray:
 
 
 def far_apart(least: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Where two sets that differ in so many elements at least are too far apart."""
-    return least * (100 + percent) > (size_a + size_b) * (100 - percent)
+    """Where two sets that differ in so many elements at least, or as their sizes do, are too far apart."""
+    return np.maximum(least, np.abs(size_a - size_b)) * (100 + percent) > (size_a + size_b) * (100 - percent)
 
 
 def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -361,7 +361,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
             rest = np.concatenate([_matrix(blobs[i:j], words) for i, j in pairwise([first, *np.flatnonzero(np.diff(length[first:])) + first + 1, len(blobs)])])
             for k in range(first, min(end, len(blobs) - 1)):
                 other = np.arange(k + 1, len(blobs))
-                other = other[(root[other] != root[k]) & ~far_apart(np.abs(size[other] - size[k]), size[other], size[k], percent)]
+                other = other[root[other] != root[k]]
                 least = np.bitwise_count(rest[other - first] ^ rest[k - first]).sum(1, dtype=np.int64)
                 other = other[~far_apart(least, size[other], size[k], percent)]
                 a.append(np.minimum(node[other], node[k]))
