@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +132,7 @@ class Codec:
         self.by_piece = self.model.dummy_prefix and self.model.escape_spaces and not self.model.trim_spaces and not self.model.charsmap and not any(MARK in p.lstrip(MARK) for p in usual) and not any(kind == USER for _, _, kind in self.model.pieces)
         self.cut_lines = "\n" not in shared
         self.plain = build_tokenizer(self.model, normalise=False)
-        self.full = build_tokenizer(self.model)
-        self.cache = PieceCache(self._pieces, self.wide)
+        self.cache = PieceCache(self._pieces, self.wide, limit=400_000)
         self.different = 0
         self.line_ids = len(self.library.encode("\n"))
         parts = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
@@ -140,6 +140,11 @@ class Codec:
         self.part_starts = np.cumsum(self.part_sizes) - self.part_sizes
         self.part_bytes = np.frombuffer(b"".join(parts), np.uint8)
 
+    @cached_property
+    def full(self):
+        """For whole texts; only models that cannot be encoded by pieces need it."""
+        return build_tokenizer(self.model)
+
     def _pieces(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
         texts = [raw[b:e].decode("utf-8", "replace") for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
@@ -213,7 +218,7 @@ def _encoded(docs: DataFrame, path: str, name: str, digest: bool) -> DataFrame:
         own = codec(path)
         data, offsets = common.text_buffer(texts)
         ids, counts, same, parity = [], [], [], []
-        for i, j in common.pieces(offsets, 4 << 20):
+        for i, j in common.pieces(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             before = own.different
             got, n = own.encode(part, at)
