@@ -78,16 +78,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def append(df: DataFrame, columns: list[str], make, ddl: str, name: str) -> DataFrame:
-    """Add one struct column made by ``make(arrays of the named columns) -> pa.StructArray`` in Arrow batches."""
+def append(df: DataFrame, columns: list[str], make, ddl: str, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Add one struct column made by ``make(arrays of the named columns) -> pa.StructArray`` in Arrow batches; of the others, return those in ``keep``."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     where = [df.columns.index(c) for c in columns]
-    schema = StructType([*df.schema.fields]).add(name, _parse_datatype_string(f"struct<{ddl}>"))
+    kept = [k for k, c in enumerate(df.columns) if keep is None or c in keep]
+    schema = StructType([df.schema.fields[k] for k in kept]).add(name, _parse_datatype_string(f"struct<{ddl}>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = [batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, make(*[arrays[k] for k in where])], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*[arrays[k] for k in kept], make(*[arrays[k] for k in where])], [*[batch.schema.names[k] for k in kept], name])
 
     return df.mapInArrow(run, schema)

@@ -49,7 +49,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spm.encode_digest(docs, tokenizer_file(PIECE_BPE)).select("doc_id", "spm.*")
+    return spm.encode_digest(docs, tokenizer_file(PIECE_BPE), keep=["doc_id"]).select("doc_id", "spm.*")
 
 
 def op7_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ RESULT = "ids: array<int>, n_bytes: long, round_trip: boolean, parity: boolean"
 DIGEST = "n_ids: long, ids_crc32: long, n_bytes: long, round_trip: boolean, parity: boolean"
 
 
-def _encoded(docs: DataFrame, path: str, name: str, digest: bool) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, name: str, digest: bool, keep: list[str] | None) -> DataFrame:
     def make(texts: pa.Array) -> pa.StructArray:
         own = codec(path)
         data, offsets = common.text_buffer(texts)
@@ -245,17 +245,17 @@ def _encoded(docs: DataFrame, path: str, name: str, digest: bool) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
         return pa.StructArray.from_arrays([lists, sizes, ok, par], ["ids", "n_bytes", "round_trip", "parity"])
 
-    return common.append(docs, ["text"], make, DIGEST if digest else RESULT, name)
+    return common.append(docs, ["text"], make, DIGEST if digest else RESULT, name, keep)
 
 
-def encode(docs: DataFrame, model_path: str, name: str = "spm") -> DataFrame:
-    """``docs`` with a struct column: ids, UTF-8 size, whether decoding gives the text, and parity with sentencepiece."""
-    return _encoded(docs, model_path, name, digest=False)
+def encode(docs: DataFrame, model_path: str, name: str = "spm", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or only its columns ``keep``) with a struct column: ids, UTF-8 size, whether decoding gives the text, and parity with sentencepiece."""
+    return _encoded(docs, model_path, name, digest=False, keep=keep)
 
 
-def encode_digest(docs: DataFrame, model_path: str, name: str = "spm") -> DataFrame:
+def encode_digest(docs: DataFrame, model_path: str, name: str = "spm", keep: list[str] | None = None) -> DataFrame:
     """The same work; of the ids their number and crc32 (as little-endian 32-bit integers)."""
-    return _encoded(docs, model_path, name, digest=True)
+    return _encoded(docs, model_path, name, digest=True, keep=keep)
 
 
 def decode(table: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
