@@ -46,7 +46,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the SentencePiece ids of each document."""
     name = common.free_name(docs, "spm")
-    return spm.encode(docs, tokenizer_file(PIECE_BPE), name).select("doc_id", F.col(f"{name}.ids").alias("ids"))
+    return spm.encode(docs.select("doc_id", "text"), tokenizer_file(PIECE_BPE), name, keep=["doc_id"]).select("doc_id", F.col(f"{name}.ids").alias("ids"))
 
 
 STAGES = [
