@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index, in DataFrame operations only.
 
-The index holds, for each word of the licence templates, its postings (template, position), and
-the word's inverse document frequency over all documents.  Of each file the licence words with
-the highest IDF are looked up; postings that agree on the template's start (word position less
-template position) are intersected by that start; a start counts if the template's mandatory
-key phrase stands at its place there.  The score is the IDF mass met of the template's rare words.
+The index holds the words of the licence templates by position, and each word's inverse document
+frequency over all documents.  A start (word position less template position) counts if the
+template's mandatory key phrase stands at its place there.  At each such start the words that
+agree with the template's are met, and of these the ones with the highest IDF are looked up; so
+no notice takes from another, whatever else the file holds, and a whole notice scores 1.  The
+score is the IDF mass met of the template's rare words.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case.  The base labels are
 plain phrase places and always kept.
@@ -43,7 +44,7 @@ TEMPLATES = [
     ("unlicense", "into the public domain", "free and unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose"),
 ]
-RARE_WORDS = 8  # of a file, looked up in the index
+RARE_WORDS = 8  # of a start, looked up in the index
 ACCEPT = 0.5  # share of the template's rare mass
 
 
@@ -73,6 +74,21 @@ def _places(hits: str, phrase: tuple[str, ...]) -> Column:
     return F.expr(f"transform(filter({hits}, (x, j) -> {test}), x -> x.i)")
 
 
+def _windows(hits: str, key: str) -> Column:
+    """The key phrase's places with the hits around: all that a template with this key may meet there."""
+    phrase = key.split()
+    sides = [(at, len(text.split()) - at) for _, k, text in TEMPLATES if k == key for at in [_key_at(k, text)]]
+    before, after = (max(x) for x in zip(*sides, strict=True))
+    follow = " and ".join(f"get({hits}, j + {k}).w = '{w}' and get({hits}, j + {k}).i = x.i + {k}" for k, w in enumerate(phrase) if k)
+    near = f"slice({hits}, greatest(j - {before}, 0) + 1, {before + after})"
+    return F.expr(f"filter(transform({hits}, (x, j) -> CASE WHEN x.w = '{phrase[0]}' AND {follow} THEN named_struct('key', '{key}', 'i', x.i, 'near', {near}) END), x -> x IS NOT NULL)")
+
+
+def _key_at(key: str, text: str) -> int:
+    own, phrase = text.split(), key.split()
+    return next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+
+
 def _tagged(places: Column, field: str, value: str) -> Column:
     return F.transform(places, lambda i: F.struct(F.lit(value).alias(field), i.alias("i")))
 
@@ -113,28 +129,25 @@ def scan(docs: DataFrame, name: str = "license", keep: list[str] | None = None)
     table = facts(docs, given, names)
     idf = inverse_frequencies(table, names["seen"])
     base = [_tagged(_places(names["hits"], p), "label", label) for p, label in BASE.items()]
-    keys = [_tagged(_places(names["hits"], tuple(k.split())), "key", k) for k in sorted({k for _, k, _ in TEMPLATES})]
+    keys = [_windows(names["hits"], k) for k in sorted({k for _, k, _ in TEMPLATES})]
     hit = table.where(F.size(names["hits"]) > 0).select("*", F.concat(*base).alias(names["base"]), F.concat(*keys).alias(names["keys"]))
 
-    # the index: postings of the rare words; its size is that of the templates
+    # the index: a row a template, with its words by position
     rows = []
-    for t, (label, key, text) in enumerate(TEMPLATES):
+    for label, key, text in TEMPLATES:
         own = text.split()
-        at = next(i for i in range(len(own)) if own[i : i + len(key.split())] == key.split())
         mass = sum(sorted((idf[w] for w in own), reverse=True)[:RARE_WORDS])
-        rows += [f"('{w}', {t}, {p}L, {idf[w]!r}D, '{label}', '{key}', {at}L, {mass!r}D)" for p, w in enumerate(own)]
-    index = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS i(w, t, p, idf, label, key, key_at, mass)")
-
-    rank = ", ".join(f"'{w}', {v!r}D" for w, v in sorted(idf.items()))
-    candidates = hit.where(F.size(names["keys"]) > 0).select(
-        F.col(names["row"]).alias("d"),
-        F.col(names["keys"]).alias("keys"),
-        F.col(names["hits"]).alias("hits"),
-        F.expr(f"slice(transform(array_sort(transform(`{names['seen']}`, w -> struct(-element_at(map({rank}), w) as r, w as w))), x -> x.w), 1, {RARE_WORDS})").alias("rare"),
-    )
-    looked_up = candidates.select("d", "keys", F.explode(F.expr("filter(hits, x -> array_contains(rare, x.w))")).alias("x"))
-    met = looked_up.join(F.broadcast(index), F.col("x.w") == index["w"]).where("exists(keys, k -> k.key = key and k.i = x.i - p + key_at)").select("d", "t", "label", "mass", "idf", (F.col("x.i") - F.col("p")).alias("start"))
-    whole = met.groupBy("d", "t", "start").agg(F.first("label").alias("label"), F.least(F.lit(1.0), F.round(F.sum("idf") / F.first("mass"), 9)).alias("score"))
+        listed, weights = ", ".join(f"'{w}'" for w in own), ", ".join(f"{idf[w]!r}D" for w in own)
+        rows.append(f"('{label}', '{key}', {_key_at(key, text)}L, array({listed}), array({weights}), {mass!r}D)")
+    index = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS i(label, key, key_at, words, idf, mass)")
+
+    places = hit.where(F.size(names["keys"]) > 0).select(F.col(names["row"]).alias("d"), F.explode(names["keys"]).alias("x"))
+    starts = places.join(F.broadcast(index), F.col("x.key") == index["key"]).select("d", "label", "words", "idf", "mass", "x.near", (F.col("x.i") - F.col("key_at")).alias("start"))
+    place = "cast(y.i - start as int)"
+    met = starts.select("d", "label", "mass", F.expr(f"transform(filter(near, y -> get(words, {place}) = y.w), y -> struct(-get(idf, {place}) as r, y.w as w))").alias("met"))
+    rare = met.select("d", "label", "mass", "met", F.slice(F.array_sort(F.array_distinct("met")), 1, RARE_WORDS).alias("rare"))
+    summed = "aggregate(filter(met, y -> array_contains(rare, y)), 0D, (a, y) -> a - y.r)"
+    whole = rare.select("d", "label", F.least(F.lit(1.0), F.round(F.expr(summed) / F.col("mass"), 9)).alias("score"))
     found = whole.groupBy("d").agg(F.max("score").alias("score"), F.collect_set(F.when(F.col("score") >= ACCEPT, F.col("label"))).alias("more"))
     plain = F.array_distinct(F.transform(names["base"], lambda x: x.label))
     result = F.struct(

@@ -116,6 +116,44 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == len(TEXTS)
 
 
+def brute_licenses(texts):
+    """Labels and score by the rule itself, each start by itself: (n_words, labels, score) of each text."""
+    split = [WORD.findall((t or "").translate(FOLD)) for t in texts]
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in own for own in split))) + 1 for _, _, text in licenses.TEMPLATES for w in text.split()}
+    out = []
+    for own in split:
+        labels = {label for p, label in licenses.BASE.items() for k in range(len(own)) if tuple(own[k : k + len(p)]) == p}
+        best = 0.0
+        for label, key, text in licenses.TEMPLATES:
+            words, phrase = text.split(), key.split()
+            at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+            for i in range(len(own)):
+                if own[i : i + len(phrase)] == phrase:
+                    met = [w for k, w in enumerate(words) if 0 <= i - at + k < len(own) and own[i - at + k] == w]
+                    rare = sorted(set(met), key=lambda w: (-idf[w], w))[: licenses.RARE_WORDS]
+                    score = min(1.0, sum(idf[w] for w in met if w in rare) / sum(sorted((idf[w] for w in words), reverse=True)[: licenses.RARE_WORDS]))
+                    best = max(best, score)
+                    labels |= {label} if score >= licenses.ACCEPT else set()
+        out.append((len(own), ",".join(sorted(labels)), pytest.approx(best, abs=1e-6)))
+    return out
+
+
+def test_licenses_of_several_notices(spark):
+    notices = {label: text for label, _, text in licenses.TEMPLATES}
+    several = [("mit", "bsd", "isc", "unlicense"), ("cc-by-sa", "mit", "bsd", "isc", "mpl"), ("mit", "unlicense"), tuple(notices)]
+    texts = [". ".join(notices[x] for x in some) for some in several]
+    texts.append(" ".join(sorted({w for t in notices.values() for w in t.split()}, key=len)) + " and words " * 5000 + notices["bsd"])
+    texts += [notices["isc"][len("permission ") :] + " permission", "redistribution and use in other forms", BASE, "the of and in to this " * 50, None]
+    texts += [" ".join(notices["bsd"].split()[:12]), "terms of use. " + " ".join(notices["mpl"].split()[3:])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.digest(licenses.scan(table)).collect()}
+    want = brute_licenses(texts)
+    assert [(got[k].n_words, got[k].labels, got[k].score) for k in range(len(texts))] == want
+    for k, some in enumerate(several):
+        assert set(some) <= set(got[k].labels.split(",")) and got[k].score == 1
+    assert "bsd" in got[4].labels.split(",")
+
+
 def brute_removal(texts):
     starts, out = {}, []
     for i, t in texts:
