@@ -213,7 +213,8 @@ class BatchEncoder:
     feed between other characters, after a line feed, and where letters, digits and marks meet,
     but for an apostrophe before letters; it looks at nothing before that place, and no merge
     crosses it.  So a text's ids are those of the pieces cut there.  A text with other white
-    space or with letters beyond U+027F, and any tokenizer of another kind, is encoded whole.
+    space or with letters beyond U+027F, one that holds an added token's content, and any
+    tokenizer of another kind, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -221,9 +222,9 @@ class BatchEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         kind = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"].encode() for t in kind.get("added_tokens") or [] if t["content"]]
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = kind.get("normalizer") is None and kind["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         self.cache = PieceCache(self._pieces, self.wide)
@@ -261,6 +262,12 @@ class BatchEncoder:
         row = np.repeat(np.arange(n), np.diff(offsets))
         odd = np.zeros(n, bool)
         odd[row[bad]] = True
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                odd[row[at]] = True
+                at = raw.find(token, int(offsets[row[at] + 1]))
         if not self.by_piece:
             odd = full.copy()
         cut = blank.copy()

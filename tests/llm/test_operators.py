@@ -64,6 +64,22 @@ def test_wavelet_round_trip(spark, docs, empty, tmp_path):
     assert wavelet.read_corpus(spark, wavelet.encode_corpus(empty, queries.tokenizer_file(queries.BYTE_BPE))).count() == 0
 
 
+def test_wavelet_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file(queries.BYTE_BPE)
+    library = Tokenizer.from_file(path)
+    texts = ["plain words", "see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endof", "text|> ends", "x <|endoftext|", "", "it's <|endoftext|>'s", "last words"]
+    assert 50256 in library.encode(texts[1], add_special_tokens=False).ids
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert collected(wavelet.read_corpus(spark, wavelet.encode_corpus(table, path)), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+
+
 def test_wavelet_queries():
     ids = np.random.default_rng(1).integers(0, 50_000, 70_000).astype(np.uint16) % 997
     shard = wavelet.WaveletShard.from_bytes(wavelet.WaveletShard.build(ids, [3], [len(ids)]).to_bytes())
