@@ -43,7 +43,7 @@ VALID = {
 }
 GENERATORS = {
     "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
-    "labelled": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[^\s\"',;]{6,64}",
+    "labelled": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[^\s\"',;]{6,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])",
     "number": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
@@ -88,14 +88,14 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     hints = {"secret": ["key: ", "token = ", "secret=", "auth "], "labelled": [""], "ssn": ["ssn ", "social security "], "iban": ["iban ", "account "], "number": ["call ", "phone ", "tel. ", "fax "]}
     good = {
         "secret": [lambda: "AKIA" + pick(upper, 16), lambda: "ghp_" + pick(base64, 36), lambda: pick(hexes, 40), lambda: pick(base64, 32), lambda: pick(hexes, 18)],
-        "labelled": [lambda: "password=" + pick(hexes, 18), lambda: 'token = "' + pick(hexes, 40), lambda: "api_key: " + pick(base64, 24), lambda: "pwd=" + pick(base64, 9)],
+        "labelled": [lambda: "password=" + pick(hexes, 18), lambda: 'token = "' + pick(hexes, 40), lambda: "api_key: " + pick(base64, 24), lambda: "pwd=" + pick(base64, 9), lambda: "token: " + ".".join(pick(base64, int(k)) for k in rng.integers(30, 300, 3)), lambda: "secret=" + pick(base64 + "+/.:!$=", int(rng.integers(65, 500)))],
         "ssn": [lambda: f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}"],
         "iban": [lambda: "DE" + pick(digits, 20), lambda: f"GB{pick(digits, 2)} WEST {pick(digits, 4)} {pick(digits, 4)} {pick(digits, 4)}"],
         "number": [lambda: f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}", lambda: f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}"],
     }
     bad = {
         "secret": [lambda: "_".join(rng.choice(words, 3)) + "_2", lambda: pick(digits, 17), lambda: f"20{pick(digits, 2)}-{'-'.join(rng.choice(words, 3))}", lambda: "/".join(rng.choice(words, 4)) + "/1"],
-        "labelled": [lambda: "token: " + str(rng.choice(words)) + "based", lambda: "secret = " + str(rng.choice(words)) + "ing"],
+        "labelled": [lambda: "token: " + str(rng.choice(words)) + "based", lambda: "secret = " + str(rng.choice(words)) + "ing", lambda: "token: " + "-".join(rng.choice(words, rng.integers(12, 60)))],
         "ssn": [lambda: f"{pick('0', 3)}-{pick(digits, 2)}-{pick(digits, 4)}"],
         "iban": [lambda: "AB12 " + " ".join(["WORD", "THAT", "GOES"])],
         "number": [lambda: f"{pick(digits, 2)} {pick(digits, 3)} {pick(digits, 3)}", lambda: f"20{pick(digits, 2)}.{pick(digits, 3)}.{pick(digits, 3)}"],
