@@ -271,6 +271,30 @@ def test_pii_long_labelled_secrets(spark):
         assert clean[k] == f"{label[: int(s)]}[{kind.upper()}] and more"
 
 
+def test_pii_overlaps_are_settled_by_what_is_kept(spark, monkeypatch):
+    class Scores:  # the likelihood of a proposal is its kind's
+        def sql(self, features):
+            return f"element_at(map(4D, {scores['secret']}D, 5D, {scores['labelled']}D, 6D, {scores['ssn']}D, 7D, 0D, 8D, {scores['number']}D), {features[-1]})"
+
+    token = "ghp_" + "a1B2" * 9
+    text = f"password=10.20.30.40:{token} end"
+    chain = f"token={token},x pwd={token}/078-05-1120"
+    table = spark.createDataFrame([(1, text), (2, chain)], "doc_id long, text string")
+    for scores in ({"secret": 0.6, "labelled": 0.9, "ssn": 0.7, "number": 0}, {"secret": 0.8, "labelled": 0.8, "ssn": 0.9, "number": 0}, {"secret": 0.7, "labelled": 0.8, "ssn": 0.9, "number": 0}):
+        monkeypatch.setattr(pii, "model", lambda: (Scores(), 0.5))
+        got = {r.doc_id: r.spans for r in pii.digest(pii.scan(table)).collect()}
+        assert got[1] == f"ip:9:20,secret:21:{21 + len(token)}"  # the labelled span goes with the ip, and takes nothing along
+        for k, t in ((1, text), (2, chain)):
+            base = [m.span() for m in re.finditer(r"10\.20\.30\.40", t)]
+            proposed = sorted((-scores[kind], m.start() - m.end(), pii.KINDS.index(kind), m.start(), m.end(), kind) for kind in ("secret", "labelled", "ssn") for m in re.finditer(pii.GENERATORS[kind], t))
+            kept = []
+            for *_, s, e, kind in proposed:
+                if not any(a < e and s < b for a, b in base + [x[:2] for x in kept]):
+                    kept.append((s, e, kind))
+            want = sorted([(s, e, "ip") for s, e in base] + kept)
+            assert got[k] == ",".join(f"{kind}:{s}:{e}" for s, e, kind in want)
+
+
 def test_pii_trees_on_held_out_examples():
     trees, limit = pii.model()
     x, y = pii.examples(2000, 99)
