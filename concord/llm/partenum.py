@@ -228,7 +228,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each row of ``docs(doc_id, text)``."""
-    docs = common.documents(docs)
+    rooted = rooted_rows(docs, shingle=shingle, percent=percent)
+    shared = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
+    return rooted.join(shared, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, size, root, a row for each row of ``docs``, and ``key``, a column of whole numbers, as ``row``; rows of a component share a root, empty sets have none."""
+    row = docs[key].cast("long").alias("row") if key else F.lit(None).cast("long").alias("row")
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row)
     buckets = common.partitions(docs, 8 << 20)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +246,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
                 n = j - i
                 hashes, doc = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 ids, size = set_ids(hashes, doc, n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(ids), pa.array(size), pa.array(sketches(hashes, doc, size), pa.binary())], ["doc_id", "node", "size", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), batch.column("row").slice(i, n), pa.array(ids), pa.array(size), pa.array(sketches(hashes, doc, size), pa.binary())], ["doc_id", "row", "node", "size", "sketch"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -282,10 +290,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         if count:
             yield send()
 
-    table = common.cut(docs.mapInArrow(described, "doc_id long, node long, size long, sketch binary"), "sets")
+    table = common.cut(docs.mapInArrow(described, "doc_id long, row long, node long, size long, sketch binary"), "sets")
     sets = table.where("size > 0")
     nodes = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    met = common.cut(docs.mapInArrow(signed, BLOBS).groupBy("k").applyInArrow(_groups, GROUPS), "groups")
+    met = common.cut(docs.select("doc_id", "text").mapInArrow(signed, BLOBS).groupBy("k").applyInArrow(_groups, GROUPS), "groups")
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs that the sketches leave open."""
@@ -343,8 +351,20 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
                     good = right & (100 * twice >= percent * both)
                     yield part.select(["a", "b"]).filter(pa.array(good))
 
-        texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(squeezed, "doc_id long, z binary")
-        held = common.cut(wanted.join(texts, "doc_id").select("node", "z"), "texts")
+        def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Texts without a doc_id by their node."""
+            for batch in batches:
+                data, offsets = common.text_buffer(batch.column("text"))
+                for i, j in common.pieces(offsets):
+                    ids, _ = set_ids(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle), j - i)
+                    zipped = zstandard.ZstdCompressor(level=3)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([zipped.compress((t or "").encode()) for t in batch.column("text").slice(i, j - i).to_pylist()], pa.binary())], ["node", "z"])
+
+        plain = docs.select("doc_id", "text")
+        texts = plain.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(squeezed, "doc_id long, z binary")
+        bare = plain.where("doc_id is null").mapInArrow(unnamed, "node long, z binary").join(wanted.where("doc_id is null").select("node"), "node", "left_semi")
+        bare = bare.groupBy("node").agg(F.min("z").alias("z"))  # of copies, one text stands for the node
+        held = common.cut(wanted.join(texts, "doc_id").select("node", "z").unionByName(bare), "texts")
         whole = pairs.join(held.select(F.col("node").alias("a"), F.col("z").alias("z_a")), "a").join(held.select(F.col("node").alias("b"), F.col("z").alias("z_b")), "b")
         return whole.mapInArrow(compared, PAIRS).distinct()
 
@@ -381,7 +401,4 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    rooted = table.join(labels, "node", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root"))
-    rooted = common.cut(rooted, "rooted")
-    shared = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
-    return rooted.join(shared, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return common.cut(table.join(labels, "node", "left").select("doc_id", "row", "size", F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root")), "rooted")

@@ -20,14 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id (of rows with that id, the least text)."""
-    found = partenum.jaccard_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    least = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    unnamed = docs.where("doc_id is null")
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(least).unionByName(unnamed)
+    """One row of each group of near copies: the one with the smallest doc_id, null last (of such rows, the one with the least text)."""
+    row = common.free_name(docs, "_row")
+    numbered = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = partenum.rooted_rows(numbered, row)
+    ids = found.where("root is not null").groupBy("root", "doc_id").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    least = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n")).alias("x")).select("root", "x.*")
+    least = common.cut(least, "least")
+    tied = least.where("n > 1").select(F.col("root").alias("r"), F.col("doc_id").alias("i"))
+    tied = found.join(tied, F.col("root").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("root", "row")
+    texts = numbered.select(F.col(f"`{row}`").alias("row"), F.col("text").cast("string").alias("text"))
+    tied = tied.join(texts, "row").groupBy("root").agg(F.min(F.struct("text", "row")).alias("x")).select("x.row")
+    kept = found.where("root is null").select("row").unionByName(least.where("n = 1").select("row")).unionByName(tied)
+    return numbered.join(kept.withColumnRenamed("row", row), row, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

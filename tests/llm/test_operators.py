@@ -377,6 +377,17 @@ def test_partenum(spark, docs, empty):
     assert collected(partenum.jaccard_components(table), "doc_id", "n_shingles", "component_id") == brute_components(texts)
 
 
+def test_partenum_links_through_rows_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    mid = " ".join(words)
+    left, right = " ".join(["l1", "l2", *words[2:]]), " ".join([*words[:-5], *"abcde"])
+    texts = [(4, left), (None, mid), (None, mid), (3, right), (None, "one two three four five six seven"), (None, None), (7, BASE), (8, NEAR)]
+    want = brute_components(texts)
+    assert (4, len(words) - 4, 3) in want  # only through the row without an id
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert collected(partenum.jaccard_components(table), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(2)
     for n in [1, 2, 4, 5, 6, 8, 9, 12, 14, 17, 20, 26, 33, 47, 70, 110, 300, 900]:

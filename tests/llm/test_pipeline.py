@@ -18,3 +18,16 @@ def test_stages_keep_columns_and_decide(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.columns == ["doc_id", "ids"] and last.count() == docs.count()
     assert not docs.where("text rlike '[A-Za-z0-9]@[a-z0-9]+[.]example'").count()
+
+
+def test_near_duplicates_decide_by_row(spark):
+    common_text = "the quick brown fox jumps over the lazy dog while seven wizards quietly box five dozen liquor jugs near some very old river bank"
+    near = common_text.replace("bank", "shore")
+    other = "zebras wander across dry plains looking for water " * 2
+    lonely = "another text that stands in the table without a name at all"
+    rows = [(3, common_text), (7, near), (7, other), (8, other + "again"), (None, near), (None, lonely), (None, lonely), (9, ""), (9, None), (5, "b b b b b c"), (5, "b b b b b c"), (5, "B b b b b c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, table, SF)
+    assert got.columns == table.columns
+    want = [(3, common_text), (7, other), (None, lonely), (9, ""), (9, None), (5, "B b b b b c")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
