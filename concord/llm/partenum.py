@@ -45,6 +45,8 @@ SHINGLE = 5
 PERCENT = 80
 MIN_BITS, MAX_BITS = 256, 32768
 FLUSH = 2_000_000
+BLOCK = 4096  # members of a group that meet in one task
+LEAST = 16  # names of groups that a member carries
 
 
 @dataclass(frozen=True)
@@ -229,12 +231,11 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each row of ``docs(doc_id, text)``."""
     rooted = rooted_rows(docs, shingle=shingle, percent=percent)
-    shared = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
-    return rooted.join(shared, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rooted.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, size, root, a row for each row of ``docs``, and ``key``, a column of whole numbers, as ``row``; rows of a component share a root, empty sets have none."""
+    """doc_id, size, root, least, a row for each row of ``docs``, and ``key``, a column of whole numbers, as ``row``; rows of a component share a root and its least doc_id, empty sets have neither."""
     row = docs[key].cast("long").alias("row") if key else F.lit(None).cast("long").alias("row")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row)
     buckets = common.partitions(docs, 8 << 20)
@@ -369,24 +370,42 @@ def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE,
         return whole.mapInArrow(compared, PAIRS).distinct()
 
     def across(pdf: pa.Table) -> pa.Table:
-        """Pairs of different components in one group, but those that are too far apart."""
+        """Pairs of different components in one group (or in two blocks of it), but those that are too far apart or that a smaller group proposes."""
         blobs = pdf.column("sketch").to_pylist()
         order = sorted(range(len(blobs)), key=lambda k: len(blobs[k]))
         blobs = [blobs[k] for k in order]
-        node, root, size = (pdf.column(c).to_numpy()[order] for c in ("node", "root", "size"))
-        length = np.array([len(x) for x in blobs])
+        node, root, size, block = (pdf.column(c).to_numpy()[order] for c in ("node", "root", "size", "block"))
+        mixed = block.min() != block.max()  # pairs inside one block are another task's work
+        length = np.array([len(x) for x in blobs]) // 8
         a, b = [], []
-        for words in np.unique(length // 8).tolist():  # those from here on are folded to the shortest
-            first, end = np.searchsorted(length // 8, [words, words + 1]).tolist()
+        for words in np.unique(length).tolist():  # those from here on are folded to the shortest
+            first, end = np.searchsorted(length, [words, words + 1]).tolist()
             rest = np.concatenate([_matrix(blobs[i:j], words) for i, j in pairwise([first, *np.flatnonzero(np.diff(length[first:])) + first + 1, len(blobs)])])
-            for k in range(first, min(end, len(blobs) - 1)):
-                other = np.arange(k + 1, len(blobs))
-                other = other[root[other] != root[k]]
-                least = np.bitwise_count(rest[other - first] ^ rest[k - first]).sum(1, dtype=np.int64)
-                other = other[~far_apart(least, size[other], size[k], percent)]
-                a.append(np.minimum(node[other], node[k]))
-                b.append(np.maximum(node[other], node[k]))
-        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+            rows = max(1, (1 << 20) // (len(rest) * words))
+            for low in range(first, end, rows):
+                top = min(low + rows, end)
+                differ = root[low:top, None] != root[None, low:]
+                if mixed:
+                    differ &= block[low:top, None] != block[None, low:]
+                i, j = np.nonzero(np.triu(differ, 1))
+                least = np.bitwise_count(rest[i + low - first] ^ rest[j + low - first]).sum(1, dtype=np.int64)
+                open_ = ~far_apart(least, size[i + low], size[j + low], percent)
+                a.append(i[open_] + low)
+                b.append(j[open_] + low)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        if len(a):
+            lists = pdf.column("least").combine_chunks()
+            many, names = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            table = np.full((len(many), LEAST), -1, np.int64)
+            table[np.repeat(np.arange(len(many)), many), np.arange(len(names)) - np.repeat(np.cumsum(many) - many, many)] = names
+            table = np.where(table < pdf.column("name")[0].as_py(), table, -1)[order]
+            keep = []
+            for k in range(0, len(a), 4096):
+                both = np.sort(np.concatenate((table[a[k : k + 4096]], table[b[k : k + 4096]]), axis=1), axis=1)
+                keep.append(~((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).any(1))
+            keep = np.concatenate(keep)
+            a, b = node[a[keep]], node[b[keep]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     stars = _unpacked(met.where("kind = 0").select("blob")).distinct()
     links = common.cut(linked(near(stars)), "links")
@@ -394,11 +413,18 @@ def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE,
     members = _unpacked(met.where("kind = 1").select("blob")).select(F.col("a").alias("name"), F.col("b").alias("node"))
     labelled = members.join(labels, "node", "left").select("name", "node", F.coalesce("root", "node").alias("root"))
     labelled = common.cut(labelled, "members")
-    open_ = labelled.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("name")
-    rest = labelled.join(open_, "name", "left_semi").join(nodes.select("node", "size", "sketch"), "node")
-    more = rest.groupBy("name").applyInArrow(across, PAIRS).distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = labelled.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("name", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rest = common.cut(labelled.join(open_, "name"), "open")
+    least = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("name")), 1, LEAST).alias("least"))
+    rest = rest.join(nodes.select("node", "size", "sketch").join(least, "node"), "node").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    meets = F.expr("explode(transform(sequence(0L, blocks - 1), x -> least(x, block) * blocks + greatest(x, block)))")
+    more = rest.select("*", meets.alias("meet")).groupBy("name", "meet").applyInArrow(across, PAIRS).distinct().join(stars, ["a", "b"], "left_anti")
     more = common.cut(linked(more), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    return common.cut(table.join(labels, "node", "left").select("doc_id", "row", "size", F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root")), "rooted")
+    # the least doc_id of a component comes by its nodes, so copies never gather under its root
+    named = common.cut(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "named")
+    shared = common.cut(named.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    named = named.join(shared, "root").select("node", "root", "least")
+    return common.cut(table.join(named, "node", "left").select("doc_id", "row", "size", "root", "least"), "rooted")
