@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def _labels(labels: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.n
     """Sorted ids, whether good, and whether held out; a document labelled twice is good only if always."""
     rows = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     good = rows.agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    got = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    got = common.smallest(good, "doc_id", limit).collect()
     got.sort()
     ids = np.array([r[0] for r in got], np.int64)
     return ids, np.array([bool(r[1]) for r in got], bool), mix(ids.view(U)) % U(2) == 1
@@ -92,38 +93,67 @@ def _find(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(ids[at] == wanted, at, -1)
 
 
+COUNTS = "k int, part int, blob binary"
+
+
 def log_ratios(docs: DataFrame, labels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Of each bucket, log of its share in the target over its share in the raw text."""
     sent = docs.sparkSession.sparkContext.broadcast(labels)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, good, held = sent.value
-        raw, target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
+        raw, target = np.zeros(SIZE, np.uint32), np.zeros(SIZE, np.uint32)
+
+        def sums() -> pa.RecordBatch:
+            """The counts so far, of the buckets met."""
+            keys, blobs = [], []
+            for k in range(SIZE // SEGMENT):
+                met = np.flatnonzero(raw[k * SEGMENT : (k + 1) * SEGMENT])
+                if len(met):
+                    counts = raw[k * SEGMENT + met], target[k * SEGMENT + met]
+                    keys.append(k)
+                    blobs.append(pack((met, 2), *((c, max(1, (int(c.max()).bit_length() + 7) // 8)) for c in counts)))
+            part = TaskContext.get().partitionId()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], ["k", "part", "blob"])
+
+        most = 0
         for batch in batches:
             data, offsets = common.text_buffer(batch.column("text"))
             names = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            for i, j in common.pieces(offsets, 4 << 20):
+            for i, j in common.pieces(offsets):
                 buckets, doc = ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = _find(ids, names[i:j])
                 ours = (at >= 0) & good[at] & ~held[at] if len(ids) else np.zeros(j - i, bool)
-                raw += np.bincount(buckets, minlength=SIZE)
-                target += np.bincount(buckets[ours[doc]], minlength=SIZE)
-        cuts = range(0, SIZE, SEGMENT)
-        yield pa.RecordBatch.from_arrays([pa.array([c // SEGMENT for c in cuts], pa.int32()), pa.array([pack((raw[c : c + SEGMENT], 6), (target[c : c + SEGMENT], 6)) for c in cuts], pa.binary())], ["k", "blob"])
-
-    def added(table: pa.Table) -> pa.Table:
+                np.add.at(raw, buckets, 1)
+                if ours.any():
+                    np.add.at(target, buckets[ours[doc]], 1)
+                most += len(buckets)
+            if most > 1 << 31:  # before a count can overflow
+                yield sums()
+                raw[:], target[:], most = 0, 0, 0
+        yield sums()
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(SEGMENT, U), np.zeros(SEGMENT, U)
-        for column in table.column("blob").chunks:
-            for blob in column:
-                a, b = unpack(blob.as_py())
-                raw += a
-                target += b
-        return pa.table({"k": table.column("k")[:1], "blob": pa.array([pack((raw, 8), (target, 8))], pa.binary())})
-
-    rows = docs.mapInArrow(counted, "k int, blob binary").groupBy("k").applyInArrow(added, "k int, blob binary").collect()
+        for batch in batches:
+            for blob in batch.column("blob"):
+                met, a, b = unpack(blob.as_py())
+                met = met.astype(np.int64)
+                raw[met] += a
+                target[met] += b
+        met = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([pack((met, 2), (raw[met], 8), (target[met], 8))], pa.binary())], ["k", "part", "blob"])
+
+    # two levels, so that no group gets a row from every task
+    spread = math.isqrt(common.partitions(docs)) + 1
+    rows = docs.mapInArrow(counted, COUNTS)
+    for key in (F.pmod("part", F.lit(spread)), F.lit(0)):
+        rows = rows.groupBy("k", key.alias("some")).applyInArrow(added, COUNTS)
     raw, target = np.zeros(SIZE), np.zeros(SIZE)
-    for k, blob in rows:
-        raw[k * SEGMENT : (k + 1) * SEGMENT], target[k * SEGMENT : (k + 1) * SEGMENT] = unpack(blob)
+    for k, _, blob in rows.collect():
+        met, a, b = unpack(blob)
+        at = k * SEGMENT + met.astype(np.int64)
+        raw[at], target[at] = a, b
     share = target.sum() / max(raw.sum(), 1)
     if not share:
         return np.zeros(SIZE)
@@ -157,7 +187,7 @@ def score(docs: DataFrame, labels: DataFrame, name: str = "quality", max_labels:
         own = sent.value
         data, offsets = common.text_buffer(texts)
         out: list[np.ndarray] = [np.zeros((0, 5))]
-        for i, j in common.pieces(offsets, 4 << 20):
+        for i, j in common.pieces(offsets):
             buckets, doc = ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             r, n = own[buckets].astype(float), j - i
             count = np.bincount(doc, minlength=n)
