@@ -3,15 +3,16 @@
 ``train`` fits coarse centroids and sub-quantisers by k-means on a bounded sample
 (``SAMPLE`` vectors, those with the smallest hash of vec_id); ``build`` indexes every vector:
 its list, its code, and the vector itself for reranking.  A list longer than ``BLOCK`` is split
-by a hash of vec_id into blocks, so a list that holds a third of all vectors is many tasks'
-work.  ``search`` probes each query's nearest lists, ranks a block's codes by asymmetric
+by a hash of vec_id into blocks, and queries meet blocks, so a list that holds a third of all
+vectors is many tasks' work.  ``search`` probes each query's nearest lists, ranks a block's codes by asymmetric
 distance tables, reranks the best exactly in double precision, and merges the blocks' bests.
 Equal vectors are one entry with many ids, of which the k + 1 smallest can matter to a query;
 so copies never crowd out others.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; ties go to the smaller vec_id; fewer candidates than k give
-fewer rows; an empty table gives an empty result; other columns are not read.
+fewer rows; a vec_id in several rows is near by the nearest of them, as a query and as a candidate,
+and is never its own neighbour; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .hashing import U, mix
+from .packing import first_of_runs
 
 SAMPLE = 40_000
 BLOCK = 8192
@@ -90,7 +92,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def train(vectors: DataFrame, lists: int | None = None, parts: int = 16, seed: int = 5) -> Quantiser | None:
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
+    rows = common.smallest(vectors, "vec_id", SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
     if not len(rows):
         return None
     x = np.unique(_matrix(rows), axis=0)
@@ -119,6 +121,15 @@ def _calibrated(q: Quantiser, x: np.ndarray, queries: int = 200, k: int = 10) ->
     return int(np.quantile(needed, WITHIN)) + 1 if needed else lists
 
 
+def distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct vector, and the place among these of every row."""
+    places = np.arange(1, vectors.shape[1] + 1, dtype=U) * U(0x9E3779B97F4A7C15)
+    _, first, entry = np.unique(mix(vectors.view(U) ^ places).sum(1), return_index=True, return_inverse=True)
+    if not (vectors[first[entry]].view(U) == vectors.view(U)).all():  # two vectors of one hash
+        _, first, entry = np.unique(vectors.view(U), axis=0, return_index=True, return_inverse=True)
+    return first, entry.ravel()
+
+
 INDEX = "list int, block int, ids binary, codes binary, vectors binary"
 
 
@@ -168,9 +179,9 @@ def search(queries: DataFrame, index: DataFrame, quantiser: Quantiser, k: int =
             for row in batch.to_pylist():
                 ids, codes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["codes"], np.uint8).reshape(-1, q.parts)
                 vectors = np.frombuffer(row["vectors"], float).reshape(-1, dims)
-                names = mix((vectors.view(U) * np.arange(1, 2 * dims, 2, dtype=U)).sum(1))
-                _, first, entry = np.unique(names, return_index=True, return_inverse=True)  # ids are sorted: first has the smallest
+                first, entry = distinct(vectors)  # ids are sorted: first has the smallest
                 order = np.argsort(entry, kind="stable")
+                order = order[first_of_runs(entry[order], ids[order])]
                 begin = np.searchsorted(entry[order], np.arange(len(first) + 1))
                 out: list[tuple[int, int, float]] = []
                 for query, v in zip(np.frombuffer(row["query_ids"], "<i8").tolist(), np.frombuffer(row["queries"], float).reshape(-1, dims), strict=True):
@@ -178,14 +189,19 @@ def search(queries: DataFrame, index: DataFrame, quantiser: Quantiser, k: int =
                     rough = tables[np.arange(q.parts), codes[first]].sum(1)
                     best = np.argpartition(rough, RERANK)[:RERANK] if len(rough) > RERANK else np.arange(len(rough))
                     exact = np.sqrt(((vectors[first[best]] - v) ** 2).sum(1))
-                    near = []
+                    near: dict[int, float] = {}
                     for e, d in zip(best.tolist(), exact.tolist(), strict=True):
-                        near += [(d, i) for i in ids[order[begin[e] : min(begin[e + 1], begin[e] + k + 1)]].tolist() if i != query]
-                    out += [(query, i, d) for d, i in sorted(near)[:k]]
+                        for i in ids[order[begin[e] : min(begin[e + 1], begin[e] + k + 1)]].tolist():
+                            near[i] = min(d, near.get(i, d))
+                    near.pop(query, None)
+                    out += [(query, i, d) for d, i in sorted((d, i) for i, d in near.items())[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 
     wanted = queries.mapInArrow(probed, "list int, query_ids binary, queries binary")
-    found = wanted.join(index, "list").mapInArrow(scanned, "query_id long, vec_id long, score double")
+    sizes = index.groupBy("list").agg(F.collect_list("block").alias("blocks"))  # a row a list
+    wanted = wanted.join(F.broadcast(sizes), "list").select("list", "query_ids", "queries", F.explode("blocks").alias("block"))
+    found = wanted.join(index, ["list", "block"]).mapInArrow(scanned, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

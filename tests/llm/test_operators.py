@@ -323,6 +323,30 @@ def test_ivf_pq(spark):
     assert ivfpq.nearest_neighbours(table.limit(0)).count() == 0
 
 
+def test_ivf_pq_of_sign_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    x = rng.choice([-1.0, 1.0], (300, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[9].tolist()), (100, (x[100] + 0.5).tolist()), (9, x[9].tolist())]
+    got = collections.defaultdict(list)
+    for r in ivfpq.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    hits = total = 0
+    for q in (0, 100, 200):
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if j == q and i != q:
+                    d = math.dist(v, w)
+                    best[i] = min(d, best.get(i, d))
+        assert len({i for _, i in got[q]}) == 10 and all(abs(best[i] - s) < 1e-9 for s, i in got[q]) and got[q] == sorted(got[q])
+        want = sorted((d, i) for i, d in best.items())[:10]
+        hits, total = hits + sum(abs(a[0] - b[0]) < 1e-9 for a, b in zip(want, got[q], strict=True)), total + 10
+    assert hits / total >= 0.9
+    v = np.array([[1.0, -1.0], [-1.0, 1.0], [1.0, -1.0]])
+    first, entry = ivfpq.distinct(v)
+    assert len(first) == 2 and entry[0] == entry[2] != entry[1]
+
+
 def test_importance(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
