@@ -8,7 +8,7 @@ made from content (name-based, SHA-1), so a task that runs again writes the same
 ``to_warc`` serialises records, gzipped one by one as the format asks, and ``parse`` reads them.
 
 Edge cases: a null or empty body converts to the empty text; a null url becomes
-``urn:concord:unknown``; repeated rows give records with equal ids; an HTTP head that isn't
+``urn:concord:unknown``, and control characters in one are percent-encoded; repeated rows give records with equal ids; an HTTP head that isn't
 closed, or a body that is no response, is taken as a body without headers; unclosed tags,
 comments and scripts end with the page; an empty table gives an empty result.
 """
@@ -33,12 +33,14 @@ from . import common
 DATE = "1970-01-01T00:00:00Z"  # of pages whose table has no capture time
 UNKNOWN = "urn:concord:unknown"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:concord:warc")
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre|td|th|dl|dt|dd|hr|main|aside|figure|form)\b[^>]*>", re.I)
+# a tag ends at its ">" or before the next "<", so no pattern looks at a place twice
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^<>]*+>.*?(?:</\1\s*+>|\Z)", re.I | re.S)
+BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre|td|th|dl|dt|dd|hr|main|aside|figure|form)\b[^<>]*+>?", re.I)
 TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*>?)")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+TITLE = re.compile(r"<title\b[^<>]*+>(.*?)(?:</title|\Z)", re.I | re.S)
+LANG = re.compile(r"<html\b[^<>]*?\blang\s*+=\s*+[\"']?([A-Za-z-]+)", re.I)
+LINK = re.compile(r"<a\b[^<>]*?\bhref\s*+=", re.I)
+CONTROL = re.compile(r"[\x00-\x1f\x7f]+")  # would break a record's head
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 LINES = re.compile(r" ?\n[ \n]*")
 
@@ -70,6 +72,7 @@ class Record:
 
 
 def _record(kind: str, rid: str, uri: str, date: str, mime: str, block: bytes, more: list[tuple[str, str]]) -> Record:
+    more = [(CONTROL.sub("", k), CONTROL.sub(" ", v)) for k, v in more]
     head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", uri), *more, ("WARC-Block-Digest", digest(block)), ("Content-Type", mime), ("Content-Length", str(len(block)))]
     return Record(kind, head, block)
 
@@ -78,7 +81,7 @@ def response(url: str | None, body: str | None, date: str = DATE) -> Record:
     """A page as the HTTP response it came by."""
     payload = (body or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    uri = url or UNKNOWN
+    uri = CONTROL.sub(lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), url or UNKNOWN)
     return _record("response", record_id("response", uri, date, digest(block)), uri, date, "application/http; msgtype=response", block, [("WARC-Payload-Digest", digest(payload))])
 
 
@@ -108,12 +111,12 @@ def derive(source: Record) -> tuple[Record, Record]:
         ("source-payload-digest", payload),
         ("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block)),
         ("conversion-record-id", conversion.get("WARC-Record-ID") or ""),
-        ("title", plain_text(title[1]).replace("\n", " ") if title else ""),
+        ("title", CONTROL.sub(" ", plain_text(title[1])) if title else ""),
         ("language", lang[1].lower() if lang else ""),
         ("outlinks", str(len(LINK.findall(page)))),
         ("text-length", str(len(text))),
     ]
-    block = "".join(f"{k}: {v}\r\n" for k, v in about).encode()
+    block = "".join(f"{CONTROL.sub('', k)}: {CONTROL.sub(' ', v)}\r\n" for k, v in about).encode()
     return _record("metadata", record_id("metadata", rid), uri, date, "application/warc-fields", block, link), conversion
 
 
