@@ -15,7 +15,7 @@ from .hashing import Prefix, U, mix
 
 
 class PieceCache:
-    """``encode(data, begin, end) -> (ids, number of ids of each)`` is asked for new pieces only."""
+    """``encode(data, begin, end) -> (ids, number of ids of each)`` is asked for new pieces only; it may give a flag of each piece too, which is kept with it."""
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, limit: int = 800_000):
         self.encode, self.limit, self.dtype = encode, limit, dtype
@@ -26,24 +26,26 @@ class PieceCache:
         self.flat = np.zeros(1 << 16, self.dtype)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
+        self.flags = np.zeros(1 << 14, bool)
         self.used = 0
 
-    def _learn(self, keys: list[int], new: np.ndarray, sizes: np.ndarray) -> None:
+    def _learn(self, keys: list[int], new: np.ndarray, sizes: np.ndarray, flags: np.ndarray | bool = False) -> None:
         n, more = len(self.index), len(keys)
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n + more > len(self.starts):
-            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.flags = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.flags))
         self.flat[self.used : self.used + len(new)] = new
         self.starts[n : n + more] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + more] = sizes
+        self.flags[n : n + more] = flags
         self.used += len(new)
         self.index.update(zip(keys, range(n, n + more), strict=True))
 
-    def lookup(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the pieces [begin, end) in order, and the number of ids of each."""
+    def lookup(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the pieces [begin, end) in order, the number of ids of each, and its flag."""
         if not len(begin):
-            return self.flat[:0], np.zeros(0, np.int64)
+            return self.flat[:0], np.zeros(0, np.int64), np.zeros(0, bool)
         keys = mix(Prefix(data).of(begin, end) + (end - begin).astype(U))
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         listed = distinct.tolist()
@@ -58,7 +60,7 @@ class PieceCache:
         which = at[inverse]
         sizes = self.sizes[which]
         total = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[which] - (total - sizes), sizes) + np.arange(total[-1])], sizes
+        return self.flat[np.repeat(self.starts[which] - (total - sizes), sizes) + np.arange(total[-1])], sizes, self.flags[which]
 
 
 def per_row(begin: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -7,9 +7,11 @@ and verifies parity with the sentencepiece library.
 
 A text is cut where a run of spaces begins, and around characters that no vocabulary piece
 holds beside others (line feeds, for one): no merge or unigram piece crosses such a place.  So
-each distinct piece is encoded, and compared with sentencepiece's own ids, once a worker; a
-piece that differed would take sentencepiece's ids and be counted.  A model whose vocabulary
-crosses such places, or whose normaliser changes text, is encoded by whole texts.
+each distinct piece is encoded once a worker, in multithreaded batches, and compared with
+sentencepiece's own ids; what differs is kept with the piece, so a text's parity is that of all
+its pieces.  A text that holds the marker itself is encoded and compared whole, and so are all
+texts under a model whose vocabulary crosses such places or whose normaliser changes text.  The
+ids are always the tokenizers library's; parity says whether sentencepiece gives the same.
 
 Edge cases: a null or empty text has no ids; characters outside the vocabulary become bytes;
 an empty table gives an empty table; other columns are kept.
@@ -17,6 +19,7 @@ an empty table gives an empty table; other columns are kept.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +33,8 @@ from . import common
 from .piececache import PieceCache, per_row
 
 MARK = "▁"
+THREADS = 2  # of sentencepiece; the tokenizers library takes as many as RAYON_NUM_THREADS allows
+os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
 # piece types of the protobuf
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -133,7 +138,6 @@ class Codec:
         self.cut_lines = "\n" not in shared
         self.plain = build_tokenizer(self.model, normalise=False)
         self.cache = PieceCache(self._pieces, self.wide, limit=400_000)
-        self.different = 0
         self.line_ids = len(self.library.encode("\n"))
         parts = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.part_sizes = np.array([len(p) for p in parts], np.int64)
@@ -145,42 +149,62 @@ class Codec:
         """For whole texts; only models that cannot be encoded by pieces need it."""
         return build_tokenizer(self.model)
 
-    def _pieces(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         raw = data.tobytes()
         texts = [raw[b:e].decode("utf-8", "replace") for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
         ours = [e.ids for e in self.plain.encode_batch_fast([t.replace(" ", MARK) for t in texts], add_special_tokens=False)]
         # the library puts a marker before each text: let it be the first space, or cut it off behind a line feed
-        theirs = self.library.encode([t[1:] if t[0] == " " and len(t) > 1 else "\n" + t for t in texts], num_threads=1)
+        theirs = self.library.encode([t[1:] if t[0] == " " and len(t) > 1 else "\n" + t for t in texts], num_threads=THREADS)
         theirs = [x if t[0] == " " and len(t) > 1 else x[self.line_ids :] for t, x in zip(texts, theirs, strict=True)]
-        for k, (a, b) in enumerate(zip(ours, theirs, strict=True)):
-            if a != b:
-                self.different += 1
-                ours[k] = b
-        return np.array([i for x in ours for i in x], self.wide), np.array([len(x) for x in ours], np.int64)
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of each text of a buffer, and their numbers."""
+        differs = [a != b for a, b in zip(ours, theirs, strict=True)]
+        return np.array([i for x in ours for i in x], self.wide), np.array([len(x) for x in ours], np.int64), np.array(differs, bool)
+
+    def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of whole texts, and whether sentencepiece gives them too."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        ours = [e.ids if t else [] for t, e in zip(texts, self.full.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+        return ours, [a == b for a, b in zip(ours, self.library.encode(texts, num_threads=THREADS), strict=True)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of each text of a buffer, their numbers, and the text's parity."""
         full = offsets[1:] > offsets[:-1]
-        if not self.by_piece:
-            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            got = [np.array(e.ids if t else [], self.wide) for t, e in zip(texts, self.full.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-            for k, b in enumerate(self.library.encode(texts, num_threads=1)):
-                if got[k].tolist() != b:
-                    self.different += 1
-                    got[k] = np.array(b, self.wide)
-            return np.concatenate([*got, np.zeros(0, self.wide)]), np.array([len(x) for x in got], np.int64)
-        data, offsets = self.marked(data, offsets, full)
-        space = data == 32
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        if self.cut_lines:
-            line = data == 10
-            cut |= line
-            cut[1:] |= line[:-1]
-        cut[offsets[:-1][full]] = True
-        begin = np.flatnonzero(cut)
-        ids, sizes = self.cache.lookup(data, begin, np.append(begin[1:], len(data)))
-        return ids, per_row(begin, offsets, sizes)
+        odd = full.copy()
+        if self.by_piece:
+            odd[:] = False
+            raw, mark = data.tobytes(), MARK.encode()
+            at = raw.find(mark)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                odd[k] = True
+                at = raw.find(mark, int(offsets[k + 1]))
+        n = len(full)
+        counts, parity, ids = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(0, self.wide)
+        if not odd.all():
+            spaced, places = self.marked(data, offsets, full)
+            space = spaced == 32
+            cut = space.copy()
+            cut[1:] &= ~space[:-1]
+            if self.cut_lines:
+                line = spaced == 10
+                cut |= line
+                cut[1:] |= line[:-1]
+            cut[places[:-1][full]] = True
+            begin = np.flatnonzero(cut)
+            end = np.append(begin[1:], len(spaced))
+            if odd.any():
+                keep = ~odd[np.searchsorted(places, begin, "right") - 1]
+                begin, end = begin[keep], end[keep]
+            ids, sizes, differs = self.cache.lookup(spaced, begin, end)
+            counts, parity = per_row(begin, places, sizes), per_row(begin, places, differs) == 0
+        if odd.any():
+            which = np.flatnonzero(odd).tolist()
+            own, same = self._whole([data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in which])
+            parts = np.split(ids, np.cumsum(counts)[:-1]) if n else []
+            for k, x, ok in zip(which, own, same, strict=True):
+                parts[k], counts[k], parity[k] = np.array(x, self.wide), len(x), ok
+            ids = np.concatenate([*parts, ids[:0]])
+        return ids, counts, parity
 
     @staticmethod
     def marked(data: np.ndarray, offsets: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +244,9 @@ def _encoded(docs: DataFrame, path: str, name: str, digest: bool, keep: list[str
         ids, counts, same, parity = [], [], [], []
         for i, j in common.pieces(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            before = own.different
-            got, n = own.encode(part, at)
-            parity += [own.different == before] * (j - i)
-            want, places = own.marked(part, at, at[1:] > at[:-1])
+            got, n, equal = own.encode(part, at)
+            parity.append(equal)
+            want, places = own.marked(part, at, (at[1:] > at[:-1]) & own.model.dummy_prefix)
             back, ends = own.decode(got, n)
             ok = np.diff(ends) == np.diff(places)
             if ok.all():
@@ -236,7 +259,7 @@ def _encoded(docs: DataFrame, path: str, name: str, digest: bool, keep: list[str
             same.append(ok)
         flat = np.concatenate([*ids, np.zeros(0, own.wide)])
         n = np.concatenate([*counts, np.zeros(0, np.int64)])
-        sizes, ok, par = pa.array(np.diff(offsets)), pa.array(np.concatenate([*same, np.zeros(0, bool)])), pa.array(parity, pa.bool_())
+        sizes, ok, par = pa.array(np.diff(offsets)), pa.array(np.concatenate([*same, np.zeros(0, bool)])), pa.array(np.concatenate([*parity, np.zeros(0, bool)]))
         ends = np.append(0, np.cumsum(n))
         if digest:
             raw = memoryview(flat.astype("<u4").tobytes())
@@ -265,7 +288,8 @@ def decode(table: DataFrame, model_path: str, ids: str = "ids", name: str = "dec
         own = codec(model_path)
         lists = [np.array(x or [], np.int64) for x in column.to_pylist()]
         raw, ends = own.decode(np.concatenate([*lists, np.zeros(0, np.int64)]), np.array([len(x) for x in lists], np.int64))
-        texts = [raw[a:b].tobytes()[1:].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        skip = int(own.model.dummy_prefix)
+        texts = [raw[a:b].tobytes()[skip:].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array(texts, pa.string())], ["text"])
 
     return common.append(table, [ids], make, "text: string", name)

@@ -220,7 +220,6 @@ class BatchEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         kind = json.loads(self.tokenizer.to_str())
@@ -230,6 +229,7 @@ class BatchEncoder:
         self.cache = PieceCache(self._pieces, self.wide)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         return [np.array(e.ids, self.wide) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ class BatchEncoder:
         if odd.any():
             keep = ~odd[row[begin]]
             begin, end = begin[keep], end[keep]
-        ids, sizes = self.cache.lookup(data, begin, end)
+        ids, sizes, _ = self.cache.lookup(data, begin, end)
         counts = per_row(begin, offsets, sizes)
         texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in np.flatnonzero(odd).tolist()]
         special = dict(zip(np.flatnonzero(odd).tolist(), self.whole(texts), strict=True))

@@ -447,3 +447,75 @@ def test_sketches_never_overstate_a_difference():
     far = partenum.far_apart(least, *size[np.array(pairs)].T, 80)
     assert far.tolist() == [i != j for i, j in pairs]  # all that differ here differ in nearly everything
     assert partenum.least_difference([], []).size == 0
+
+
+def test_sentencepiece_parity_is_each_texts_own(spark):
+    import sentencepiece
+
+    path = queries.tokenizer_file(queries.PIECE_BPE)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["foo▁ bar", "plain words", "▁", "two  spaces\nand ▁▁ marks", "", "zqx odd"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in spm.encode(table, path).collect():
+        assert r.spm.parity == (r.spm.ids == library.encode(r.text)), r.text
+    own = spm.Codec(path)
+    assert own.library.encode("odd") != [5]
+    real = own.plain
+    own.plain = type("Other", (), {"encode_batch_fast": lambda self, batch, **_: [type("E", (), {"ids": [5] if "zqx" in t else e.ids}) for t, e in zip(batch, real.encode_batch_fast(batch, add_special_tokens=False), strict=True)]})()
+    for some in (["a zqx b", "fine"], ["fine", "zqx again zqx"], ["fine", "a b"]):
+        raw = [t.encode() for t in some]
+        ids, counts, parity = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert parity.tolist() == ["zqx" not in t for t in some] and counts.sum() == len(ids)  # also where the piece is known already
+
+
+def proto(number, value):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+def test_sentencepiece_unigram_model_written_by_hand(spark, tmp_path, prefix):
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", -20.0, 6) for b in range(256)]]
+    pieces += [(p, -float(k % 7) - 1, 1) for k, p in enumerate(["▁", "a", "b", "c", "▁a", "ab", "abc", "▁ab", "bc", "ca", "▁b", "▁c", "d", "cab"])]
+    data = b"".join(proto(1, proto(1, p.encode()) + proto(2, s) + proto(3, t)) for p, s, t in pieces)
+    data += proto(2, proto(3, 1) + proto(35, 1) + proto(40, 0)) + proto(3, proto(1, b"identity") + proto(3, int(prefix)) + proto(4, 0) + proto(5, 1))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(data)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["abc cab", "a b  c", "bcab ca", "dé a", "", None, "ab\nab", " lead and trail "]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = spm.encode(table, str(path)).collect()
+    for r in rows:
+        assert r.spm.parity and r.spm.ids == (library.encode(r.text) if r.text else []), r.text
+    back = spm.decode(spm.encode(table, str(path)).select("text", "spm.ids"), str(path)).collect()
+    assert all(r.decoded.text == (r.text or "") for r in back)
+
+
+def test_warc_is_linear_and_heads_cannot_be_broken(spark):
+    import time
+
+    began = time.time()
+    for junk in ("<a ", "<p ", "<title ", "<html ", "<script ", "<!-", "</script ", "lang ", "<a href "):
+        page = junk * ((1 << 20) // len(junk))
+        source = warc.response("http://x/", page)
+        assert all(r.get("WARC-Refers-To") == source.get("WARC-Record-ID") for r in warc.derive(source))
+    assert time.time() - began < 60
+    bad = warc.response("http://x/\r\nWARC-Type: evil\r\n\r\n", "<title>a\r\nb</title>")
+    records = [bad, *warc.derive(bad)]
+    back = list(warc.parse(warc.to_warc(records)))
+    assert [r.kind for r in back] == ["response", "metadata", "conversion"] and [r.block for r in back] == [r.block for r in records]
+    files = warc.warc_files(warc.derivatives(spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k}", "clash") for k in range(5)], "page_id long, url string, html string, headers string")), per_file=4).collect()
+    assert sum(f.n_records for f in files) == 15 and all(f.n_records <= 4 for f in files)
+    assert sum(len(list(warc.parse(bytes(f.warc)))) for f in files) == 15
+    assert warc.derivatives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
