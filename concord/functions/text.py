@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: fixed values: words that say nothing in a field description
-STOP = ["a", "an", "the", "of", "for", "to", "in", "on", "and", "or", "is", "was", "that", "this", "by", "from", "as", "at", "be", "it"]
+#: fixed values: words that say nothing in a target's description
+STOP = ["the", "a", "an", "of", "for", "to", "by", "in", "on", "and", "or", "this", "that", "value", "field", "given"]
+#: fixed values: and in a source's
+SOURCE_STOP = [*STOP, "with"]
 #: fixed values: sentiment words
-NEGATIVE = ["wrong", "error", "incorrect", "missing", "bad", "fail", "broken", "worthless", "stupid", "trash"]
-POSITIVE = ["good", "correct", "great", "approved", "thanks", "excellent"]
+NEGATIVE = ["angry", "unacceptable", "wrong", "broken", "failed", "terrible", "furious", "disappointed", "escalate", "unhappy", "mistake", "error"]
+POSITIVE = ["great", "thanks", "excellent", "good", "approved", "correct", "perfect"]
 DIM = 256
 
 
@@ -22,9 +26,14 @@ def name_tokens(name: Column) -> Column:
     return F.regexp_extract_all(F.lower(split_camel(name)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def description_tokens(text: Column) -> Column:
+def description_tokens(text: Column, stop: list[str] = SOURCE_STOP) -> Column:
     """Name tokens without stop words and single letters."""
-    return F.filter(name_tokens(text), lambda w: (F.length(w) > 1) & ~w.isin(STOP))
+    return F.filter(name_tokens(text), lambda w: (F.length(w) > 1) & ~w.isin(stop))
+
+
+def words_of(name: str) -> list[str]:
+    """Name tokens of a plain string, for the few names of a schema."""
+    return re.findall("[a-z0-9]+", re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", name).lower())
 
 
 def token_key(tokens: Column) -> Column:
@@ -33,8 +42,8 @@ def token_key(tokens: Column) -> Column:
 
 
 def normalise_path(path: Column) -> Column:
-    """Each segment by its name tokens, brackets kept."""
-    segment = lambda s: F.concat(F.array_join(name_tokens(F.regexp_replace(s, r"\[\]", "")), "_"), F.regexp_extract(s, r"((?:\[\])*)$", 1))
+    """Each segment by its name tokens, and whether it is an array."""
+    segment = lambda s: F.concat(F.array_join(name_tokens(F.regexp_replace(s, r"\[\]", "")), " "), F.when(s.endswith("[]"), "[]").otherwise(""))
     return F.array_join(F.transform(F.split(path, "[.]"), segment), ".")
 
 
@@ -64,7 +73,7 @@ def hash_slot(token: Column) -> Column:
 
 def hash_sign(token: Column) -> Column:
     """Sign of a token: the low bit of the byte before."""
-    return F.when(F.conv(F.substring(F.md5(token), 30, 1), 16, 10).cast("int") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    return F.when(F.conv(F.substring(F.md5(token), 30, 1), 16, 10).cast("int") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
 
 
 def words_found(text: Column, words: list[str]) -> Column:
