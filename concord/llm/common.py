@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="concord-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes: rows hold whole texts, so the usual number of rows may be any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at a task's end what it has freed goes back to the system: workers wait for the next task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def cut(df: DataFrame, name: str, row_group_mb: int = 16) -> DataFrame:
     """Write a table into the shared folder and read it back: later stages never recompute it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -39,6 +63,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def partitions(df: DataFrame, target: int = TARGET_BYTES) -> int:
     """As many partitions as the session asks for, or more if they would exceed the target."""
+    small_batches(df.sparkSession)
     size = input_bytes(df)
     known = size < 1 << 55  # a plan without statistics says the largest number
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target) if known else 1)
@@ -67,7 +92,10 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+PIECE = 1_000_000  # bytes of text that are worked on at a time: under a power of two, also with a byte more a row
+
+
+def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Runs of rows [i, j) of at most this many bytes, or of one longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -78,6 +106,7 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 
 def documents(df: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, whatever else the table holds."""
+    small_batches(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c] for c in more])
 
 
@@ -102,4 +131,5 @@ def append(df: DataFrame, columns: list[str], make, ddl: str, name: str, keep: l
             arrays = [batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*[arrays[k] for k in kept], make(*[arrays[k] for k in where])], [*[batch.schema.names[k] for k in kept], name])
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lean(run), schema)

@@ -146,7 +146,7 @@ def log_ratios(docs: DataFrame, labels: tuple[np.ndarray, np.ndarray, np.ndarray
 
     # two levels, so that no group gets a row from every task
     spread = math.isqrt(common.partitions(docs)) + 1
-    rows = docs.mapInArrow(counted, COUNTS)
+    rows = docs.mapInArrow(common.lean(counted), COUNTS)
     for key in (F.pmod("part", F.lit(spread)), F.lit(0)):
         rows = rows.groupBy("k", key.alias("some")).applyInArrow(added, COUNTS)
     raw, target = np.zeros(SIZE), np.zeros(SIZE)

@@ -80,6 +80,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and embedding (array<double>) of the vectors that take part."""
+    common.small_batches(vectors.sparkSession)
     v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("embedding"))
     v = v.where("vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     usual = v.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
@@ -151,7 +152,7 @@ def build(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
         ids = table.column("vec_id").to_numpy().astype("<i8").tobytes()
         return pa.table({"list": table.column("list")[:1], "block": table.column("block")[:1], "ids": [ids], "codes": [b"".join(table.column("code").to_pylist())], "vectors": [b"".join(table.column("vector").to_pylist())]})
 
-    rows = common.cut(vectors.mapInArrow(assigned, "list int, vec_id long, code binary, vector binary"), "codes")
+    rows = common.cut(vectors.mapInArrow(common.lean(assigned), "list int, vec_id long, code binary, vector binary"), "codes")
     sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a list
     blocks = rows.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     return common.cut(blocks.groupBy("list", "block").applyInArrow(packed, INDEX), "index")
@@ -197,10 +198,10 @@ def search(queries: DataFrame, index: DataFrame, quantiser: Quantiser, k: int =
                     out += [(query, i, d) for d, i in sorted((d, i) for i, d in near.items())[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-    wanted = queries.mapInArrow(probed, "list int, query_ids binary, queries binary")
+    wanted = queries.mapInArrow(common.lean(probed), "list int, query_ids binary, queries binary")
     sizes = index.groupBy("list").agg(F.collect_list("block").alias("blocks"))  # a row a list
     wanted = wanted.join(F.broadcast(sizes), "list").select("list", "query_ids", "queries", F.explode("blocks").alias("block"))
-    found = wanted.join(index, ["list", "block"]).mapInArrow(scanned, "query_id long, vec_id long, score double")
+    found = wanted.join(index, ["list", "block"]).mapInArrow(common.lean(scanned), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

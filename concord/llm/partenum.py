@@ -173,7 +173,7 @@ def _unpacked(df: DataFrame) -> DataFrame:
                 a, b = (c[0].view(np.int64) for c in stacked([blob]))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return df.mapInArrow(run, PAIRS)
+    return df.mapInArrow(common.lean(run), PAIRS)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> bytes:
@@ -291,10 +291,10 @@ def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE,
         if count:
             yield send()
 
-    table = common.cut(docs.mapInArrow(described, "doc_id long, row long, node long, size long, sketch binary"), "sets")
+    table = common.cut(docs.mapInArrow(common.lean(described), "doc_id long, row long, node long, size long, sketch binary"), "sets")
     sets = table.where("size > 0")
     nodes = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    met = common.cut(docs.select("doc_id", "text").mapInArrow(signed, BLOBS).groupBy("k").applyInArrow(_groups, GROUPS), "groups")
+    met = common.cut(docs.select("doc_id", "text").mapInArrow(common.lean(signed), BLOBS).groupBy("k").applyInArrow(_groups, GROUPS), "groups")
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs that the sketches leave open."""
@@ -308,7 +308,7 @@ def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE,
         def side(x: str) -> DataFrame:
             return nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, PAIRS)
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(common.lean(run), PAIRS)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those pairs whose texts are similar enough, exactly."""
@@ -362,12 +362,12 @@ def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE,
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([zipped.compress((t or "").encode()) for t in batch.column("text").slice(i, j - i).to_pylist()], pa.binary())], ["node", "z"])
 
         plain = docs.select("doc_id", "text")
-        texts = plain.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(squeezed, "doc_id long, z binary")
-        bare = plain.where("doc_id is null").mapInArrow(unnamed, "node long, z binary").join(wanted.where("doc_id is null").select("node"), "node", "left_semi")
+        texts = plain.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(common.lean(squeezed), "doc_id long, z binary")
+        bare = plain.where("doc_id is null").mapInArrow(common.lean(unnamed), "node long, z binary").join(wanted.where("doc_id is null").select("node"), "node", "left_semi")
         bare = bare.groupBy("node").agg(F.min("z").alias("z"))  # of copies, one text stands for the node
         held = common.cut(wanted.join(texts, "doc_id").select("node", "z").unionByName(bare), "texts")
         whole = pairs.join(held.select(F.col("node").alias("a"), F.col("z").alias("z_a")), "a").join(held.select(F.col("node").alias("b"), F.col("z").alias("z_b")), "b")
-        return whole.mapInArrow(compared, PAIRS).distinct()
+        return whole.mapInArrow(common.lean(compared), PAIRS).distinct()
 
     def across(pdf: pa.Table) -> pa.Table:
         """Pairs of different components in one group (or in two blocks of it), but those that are too far apart or that a smaller group proposes."""

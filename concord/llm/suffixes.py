@@ -424,8 +424,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             rows.append(_row(0, None, doc_id, *_cut(text, np.concatenate(starts), length), None))
         return _table(rows)
 
-    replies = docs.mapInArrow(outgoing, BLOBS).groupBy("k").applyInArrow(_settle(buckets), BLOBS)
-    homes = docs.mapInArrow(homed, "k int, doc_id long, key long, z binary")
+    replies = docs.mapInArrow(common.lean(outgoing), BLOBS).groupBy("k").applyInArrow(_settle(buckets), BLOBS)
+    homes = docs.mapInArrow(common.lean(homed), "k int, doc_id long, key long, z binary")
     first = common.cut(homes.groupBy("k").cogroup(replies.groupBy("k")).applyInArrow(compared, PASS), "suffixes")
     runs = first.where("kind = 1").select("k", "blob")
     later = runs.groupBy("k").applyInArrow(_merge_range(buckets, length), BLOBS)

@@ -163,7 +163,8 @@ def derivatives(pages: DataFrame) -> DataFrame:
                 types = [pa.int64(), *[pa.string()] * 5, header, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "record_type", "record_id", "refers_to", "target_uri", "block_digest", "headers", "block"])
 
-    return given.mapInArrow(run, RECORDS)
+    common.small_batches(pages.sparkSession)
+    return given.mapInArrow(common.lean(run), RECORDS)
 
 
 def warc_files(records: DataFrame, per_file: int = 2000) -> DataFrame:
@@ -176,4 +177,4 @@ def warc_files(records: DataFrame, per_file: int = 2000) -> DataFrame:
                 data = to_warc([Record(r["record_type"], [(h["name"], h["value"]) for h in r["headers"]], r["block"]) for r in rows])
                 yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([data], pa.binary())], ["n_records", "warc"])
 
-    return records.mapInArrow(run, "n_records long, warc binary")
+    return records.mapInArrow(common.lean(run), "n_records long, warc binary")

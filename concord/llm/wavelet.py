@@ -344,7 +344,7 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, out: str | None = None,
 
     docs = common.documents(docs)
     ordered = docs.repartitionByRange(common.partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shards, SHARDS).write.option("parquet.block.size", 8 << 20).option("compression", "uncompressed").parquet(out)
+    ordered.mapInArrow(common.lean(shards), SHARDS).write.option("parquet.block.size", 8 << 20).option("compression", "uncompressed").parquet(out)
     return out
 
 
@@ -371,4 +371,4 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
                 keys = pa.array(shard.doc_ids, mask=shard.doc_ids == NULL_ID)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(starts + batch.column("start")[k].as_py()), pa.array(shard.lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(common.lean(rows), "doc_id long, start long, n_tokens long, ids_crc32 long")
