@@ -86,11 +86,6 @@ def sentiment(text: Column) -> Column:
     return F.when(balance > 0, "negative").when(balance < 0, "positive").otherwise("neutral")
 
 
-def sentences(text: Column) -> Column:
-    """Split behind terminators and at line ends."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-
-
 def casing(text: Column) -> Column:
     letters = F.regexp_replace(text, "[^A-Za-z]", "")
     words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
@@ -104,3 +99,28 @@ def casing(text: Column) -> Column:
 
 def slug(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), "_")
+
+
+def clean_name(name: Column) -> Column:
+    """A field's name in words."""
+    return F.lower(F.trim(F.regexp_replace(split_camel(name), r"[_\-]+", " ")))
+
+
+def evidence(name: Column, description: Column, examples: Column) -> Column:
+    """What a field is, in one line: its name, description and up to three examples of at most 80 characters."""
+    shown = F.slice(F.filter(F.transform(F.coalesce(examples, F.array().cast("array<string>")), lambda e: F.substring(F.trim(e), 1, 80)), lambda e: F.coalesce(e, F.lit("")) != ""), 1, 3)
+    told = F.when(F.size(shown) > 0, F.concat(F.lit("examples: "), F.array_join(shown, "; ")))
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.array_join(F.array_compact(F.array(some(clean_name(name)), some(description), told)), ". ")
+
+
+def wrong_value(value: Column) -> Column:
+    """A value that is certainly wrong: the last digit one up, or a mark behind it."""
+    v = F.trim(value)
+    head, digit, rest = (F.regexp_extract(v, r"(?s)^(.*)([0-9])([^0-9]*)$", k) for k in (1, 2, 3))
+    return F.when(v.rlike("[0-9]"), F.concat(head, ((digit.cast("int") + 1) % 10).cast("string"), rest)).otherwise(F.concat(v, F.lit(" (DRAFT - unverified)")))
+
+
+def tool_name(name: Column) -> Column:
+    """A tool's name without a channel mark."""
+    return F.trim(F.substring_index(F.coalesce(name, F.lit("")), "<|", 1))

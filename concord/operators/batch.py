@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.functions import text
 from concord.functions.convert import Target
 from concord.operators import alignment, profile
 from concord.plans.storage import cut
@@ -78,6 +77,19 @@ def drift(matched: DataFrame, library: DataFrame, rates: DataFrame) -> DataFrame
     return changed("added", "structural", "new field ").unionByName(changed("removed", "structural", "missing field ")).unionByName(changed("mismatched", "type", "type change at ")).unionByName(fell).unionByName(shape)
 
 
+def align_shapes(docs: DataFrame, doc: str, column: str, fields: list[Target]) -> DataFrame:
+    """``docs(doc, column)``, a record a document, clustered by shape and each shape aligned by its own mapping; nothing is learned."""
+    long = cut(profile.cells(docs, [doc], column), "cells")
+    signed = cut(shapes(docs, long, doc).select(doc, "shape"), "shapes")
+    placed = docs.join(signed, doc)
+    long = cut(long.join(signed, doc), "placed")
+    found = profile.profile(long, [doc], ["shape"], signed.groupBy("shape").agg(F.count("*").alias("total")))
+    mapping = cut(alignment.infer_mapping(found, alignment.target_table(docs.sparkSession, fields), ["shape"]), "mapping")
+    golden = alignment.execute(placed, long, [doc], mapping, fields, ["shape"])
+    golden = golden.withColumn("issues", alignment.issues(fields, [f.name for f in fields], "provenance"))
+    return golden.withColumn("conformant", alignment.conformant(fields))
+
+
 @dataclass
 class Plan:
     """A batch's tables: documents with shapes, cells, shapes, decisions, drift, and both mappings."""

@@ -38,12 +38,8 @@ def violations(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     return evidence.join(r, ["area", "attr"]).where(~F.col("value").eqNullSafe(F.col("expected"))).select("area", "attr", "idx", F.col("value").alias("found"), "expected")
 
 
-def precedence(declared: DataFrame, learned: DataFrame, keys: list[str]) -> DataFrame:
-    """Declared values before learned ones."""
-    return declared.withColumnRenamed("value", "_d").join(learned.withColumnRenamed("value", "_l"), keys, "full").select(*keys, F.coalesce("_d", "_l").alias("value"), F.when(F.col("_d").isNotNull(), "declared").otherwise("learned").alias("source"))
-
-
-def caption_below(boxes: DataFrame, slack: float = 1.0) -> DataFrame:
-    """Whether a caption lies below, above or beside its box, within the slack."""
-    side = F.when(F.col("caption_top") >= F.col("bottom") - slack, "below").when(F.col("caption_bottom") <= F.col("top") + slack, "above").otherwise("beside")
-    return boxes.withColumn("position", side)
+def caption_adjacency(blocks: DataFrame, doc: str, order: list[str]) -> DataFrame:
+    """``blocks(doc, image, caption)`` in order: of each image whether its caption is the block behind it, or the one before."""
+    w = Window.partitionBy(doc).orderBy(*order)
+    seen = blocks.select("*", F.lag("caption").over(w).alias("_b"), F.lead("caption").over(w).alias("_a"))
+    return seen.where("image").withColumn("caption_position", F.when(F.col("_a"), "below").when(F.col("_b"), "above").otherwise("none")).drop("_a", "_b")

@@ -20,20 +20,42 @@ def rounds(corrections: DataFrame, target: str, round_: str) -> DataFrame:
     return seen.select("*", F.max(round_).over(Window.partitionBy("r", target)).alias("_last")).where(F.col(round_) == F.col("_last")).drop("_last")
 
 
-def resolve(draft: Column, fact: Column, proposals: Column) -> tuple[Column, Column]:
-    """Status and value of a unit.  Differing corrections are a conflict with no value; a fact beats one correction."""
-    n = F.size(F.coalesce(proposals, F.array().cast("array<string>")))
-    one = F.try_element_at(proposals, F.lit(1))
-    best = F.when(n > 1, F.lit(None).cast("string")).otherwise(F.coalesce(fact, one, draft))
-    status = F.when(n > 1, "conflict").when(best.isNull(), "needs_review").when(draft.isNull() | (draft == ""), "filled").when(draft != best, "corrected").otherwise("unchanged")
-    return status, best
-
-
-def resolve_units(units: DataFrame, corrections: DataFrame, target: str, draft: str, fact: str, new_value: str) -> DataFrame:
-    proposed = corrections.groupBy(target).agg(F.array_sort(F.collect_set(F.col(new_value))).alias("candidates"))
+def resolve(draft: Column, fact: Column, proposals: Column) -> tuple[Column, Column, Column]:
+    """Status, value and note of a unit; ``proposals``: array of structs (id, new_value), in order.
+
+    Corrections that differ are a conflict without a value.  A fact of the corpus beats a
+    correction and is compared with the draft without case and outer blanks; a correction alone
+    gives its value; with neither the unit needs review and keeps its draft.
+    """
+    draft = F.coalesce(draft, F.lit(""))
+    given = F.coalesce(proposals, F.array().cast("array<struct<id:string,new_value:string>>"))
+    differ = F.size(F.array_distinct(F.transform(given, lambda c: F.struct(c.new_value)))) > 1
+    one = F.try_element_at(given, F.lit(1))["new_value"]
+    supplied = F.coalesce(one, F.lit("")) != ""
+    plain = lambda c: F.lower(F.trim(c))
+    status = (
+        F.when(differ, "conflict")
+        .when(fact.isNotNull(), F.when(draft == "", "filled").when(plain(draft) != plain(fact), "corrected").otherwise("unchanged"))
+        .when(supplied, F.when(draft == "", "filled").otherwise("corrected"))
+        .otherwise("needs_review")
+    )
+    value = F.when(differ, None).when(fact.isNotNull(), fact).when(supplied, one).when(draft != "", draft)
+    note = (
+        F.when(differ, "Corrections disagree; resolution deferred to a human.")
+        .when(fact.isNotNull(), "")
+        .when(supplied, F.concat(F.lit("Value supplied by correction "), F.try_element_at(given, F.lit(1))["id"], F.lit(" (no corpus fact).")))
+        .otherwise("Flagged or required, but no corpus value or corrected value available.")
+    )
+    return status, value, note
+
+
+def resolve_units(units: DataFrame, corrections: DataFrame, target: str, draft: str, fact: str, new_value: str, id_: str) -> DataFrame:
+    """Each unit with status, value, note, the draft's value, the correction ids and the number of distinct candidates."""
+    proposed = corrections.groupBy(target).agg(F.array_sort(F.collect_list(F.struct(F.col(id_).cast("string").alias("id"), F.col(new_value).cast("string").alias("new_value")))).alias("_c"))
     joined = units.join(proposed, target, "left")
-    status, value = resolve(F.col(draft), F.col(fact), F.col("candidates"))
-    return joined.select(target, status.alias("status"), value.alias("value"), F.coalesce(F.size("candidates"), F.lit(0)).cast("long").alias("n_candidates"))
+    status, value, note = resolve(F.col(draft), F.col(fact), F.col("_c"))
+    distinct = F.size(F.array_distinct(F.transform("_c", lambda c: F.struct(c.new_value))))
+    return joined.select(target, status.alias("status"), value.alias("value"), note.alias("note"), F.col(draft).alias("original"), F.coalesce(distinct, F.lit(0)).cast("long").alias("n_candidates"), F.coalesce(F.transform("_c", lambda c: c.id), F.array().cast("array<string>")).alias("corrections"))
 
 
 def tally(units: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -63,14 +85,24 @@ def last_placement(placements: DataFrame, key: str, order: list[str], value: str
 
 def valid_operations(ops: DataFrame, operation: str, value: str, known: list[str], setting: list[str]) -> DataFrame:
     """Why an operation can't be applied, or null."""
-    reason = F.when(~F.col(operation).isin(known), "unknown_operation").when(F.col(operation).isin(setting) & (F.coalesce(F.trim(value), F.lit("")) == ""), "empty_value")
+    reason = F.when(~F.col(operation).isin(known), "unknown_operation").when(F.col(operation).isin(setting) & (F.coalesce(F.col(value), F.lit("")) == ""), "empty_value")
     return ops.withColumn("reason", reason)
 
 
+def squeezed(c: Column) -> Column:
+    """Lower case, blanks run together."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
 def grounded(value: Column, corpus: Column) -> Column:
-    """The value stands in the corpus, both with letters and digits only."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    return (F.length(plain(value)) > 0) & F.contains(plain(corpus), plain(value))
+    """The value stands in the corpus, both squeezed; an empty value invents nothing."""
+    v = squeezed(F.coalesce(value, F.lit("")))
+    return (v == "") | F.contains(squeezed(corpus), v)
+
+
+def resolvable_key(target: Column) -> Column:
+    """What a target is looked up by: a cell ``section.table[...]`` by its table, all others by themselves."""
+    return F.when(target.contains("["), F.substring_index(target, "[", 1)).otherwise(target)
 
 
 def dominant_match(pairs: DataFrame, left: str, right: str, shared: str, least: int = 2) -> DataFrame:
@@ -78,3 +110,99 @@ def dominant_match(pairs: DataFrame, left: str, right: str, shared: str, least:
     w = Window.partitionBy(left).orderBy(F.desc(shared), right)
     ranked = pairs.select("*", F.row_number().over(w).alias("_r"), F.lead(shared).over(w).alias("_next"))
     return ranked.where((F.col("_r") == 1) & (F.col(shared) >= least) & (F.col(shared) > F.coalesce("_next", F.lit(0)))).drop("_r", "_next")
+
+
+#: fixed values: words that say nothing about which figure is meant
+FILLER = [
+    "the", "a", "an", "of", "and", "to", "in", "for", "is", "it", "that", "this", "with", "by", "on", "at", "as", "or", "be", "its", "into", "from",
+    "subject", "reviewer", "please", "should", "swap", "not", "now", "there", "what", "one", "correct", "right", "wrong", "reference", "referenced", "section",
+    "figure", "chart", "image", "graphic", "diagram", "plot", "png",
+]
+
+
+def content_words(text: Column) -> Column:
+    """Words of feedback without its mail head and without words that say nothing."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)^(?:from|subject|to|cc|date):.*$", "")
+    return F.array_distinct(F.filter(F.split(F.lower(body), "[^a-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.isin(FILLER)))
+
+
+def shared_words(left: DataFrame, right: DataFrame, a: str, b: str, words: str) -> DataFrame:
+    """Pairs with the number of words they share, joined on words."""
+    l = left.select(a, F.explode(words).alias("_w"))  # noqa: E741
+    r = right.select(b, F.explode(words).alias("_w"))
+    return l.join(r, "_w").groupBy(a, b).agg(F.count("*").alias("shared"))
+
+
+def reconcile_graphics(required: DataFrame, placed: DataFrame, relabels: DataFrame) -> DataFrame:
+    """``required(graphic_id, section, name)``, ``placed(name, section, ord)``, ``relabels(section, new_value, old_value)``: a relabel to the right name beats insertion, insertion beats a move."""
+    last = placed.groupBy("name").agg(F.max_by("section", "ord").alias("placed_section"))
+    named = relabels.groupBy("section", F.col("new_value").alias("name")).agg(F.max("old_value").alias("old_value"), F.lit(True).alias("relabelled"))
+    both = required.join(last, "name", "left").join(named, ["section", "name"], "left")
+    at = F.col("placed_section")
+    status = F.when(F.col("relabelled"), "corrected").when(at.isNull(), "filled").when(at != F.col("section"), "corrected").otherwise("unchanged")
+    note = (
+        F.when(F.col("relabelled"), F.concat(F.lit("Relabeled from '"), F.coalesce("old_value", F.lit("")), F.lit("' to '"), "name", F.lit("'.")))
+        .when(at.isNull(), "Graphic was missing; inserted into its required section.")
+        .when(at != F.col("section"), F.concat(F.lit("Moved from '"), at, F.lit("' to '"), "section", F.lit("'.")))
+        .otherwise("")
+    )
+    return both.select("graphic_id", "section", "name", status.alias("status"), note.alias("note"))
+
+
+def reconcile_tables(drafts: DataFrame, specs: DataFrame) -> DataFrame:
+    """``drafts(table_id, columns, font, header_style, n_rows)`` against ``specs`` with the same columns: what formatting changes, and the status."""
+    s = specs.select("table_id", *[F.col(c).alias(f"want_{c}") for c in ("columns", "font", "header_style")])
+    both = s.join(drafts, "table_id", "left")
+    changed = lambda c, some: F.when(some & (F.col(c) != F.col(f"want_{c}")), F.lit(c))
+    formatting = F.array_compact(F.array(changed("columns", F.size("columns") > 0), changed("font", F.col("font") != ""), changed("header_style", F.col("header_style") != "")))
+    return both.select("table_id", formatting.alias("formatting"), F.when(F.coalesce("n_rows", F.lit(0)) > 0, "corrected").otherwise("filled").alias("status"))
+
+
+def table_cells(blocks: DataFrame, key: str, text: str, marker: str, labels: list[str]) -> DataFrame:
+    """Rows of a text block, split before each marker, and each label's value in them: a row for each found cell (``row_ord``, ``label``, ``cell``)."""
+    quoted = [F.lit(x) for x in labels]
+    segments = blocks.select(key, F.posexplode(F.split(text, f"(?=\\Q{marker}\\E)")).alias("seg", "segment")).where(F.contains(F.lower("segment"), F.lit(marker.lower())))
+    ends = "|".join(f"\\Q{x}\\E" for x in labels)
+    found = [F.regexp_extract("segment", rf"(?i)\Q{x}\E\s*:\s*(.+?)\s*(?:\.\s|\.$|(?:{ends})\s*:|$)", 1) for x in labels]
+    numbered = segments.select(key, "segment", F.row_number().over(Window.partitionBy(key).orderBy("seg")).alias("row_ord"))
+    cells = numbered.select(key, "row_ord", F.explode(F.arrays_zip(F.array(*quoted).alias("label"), F.array(*found).alias("cell"))).alias("x"))
+    value = F.trim(F.regexp_replace("x.cell", r"\s+", " "))
+    return cells.select(key, "row_ord", F.col("x.label").alias("label"), value.alias("cell")).where("cell <> ''")
+
+
+def furniture(drafts: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
+    """``drafts(key, title, header, footer, page_numbers, classification)`` and ``corrections(key, element, id, new_value)``: a row for each page element with status and value."""
+    marks = corrections.where("element = 'classification'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "new_value"))).alias("_c"))
+    d = drafts.join(marks, key, "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    status, value, _ = resolve(F.col("classification"), F.lit(None).cast("string"), F.col("_c"))
+    elements = [
+        ("header", F.when(some("header"), "unchanged").otherwise("filled"), F.when(some("header"), F.col("header")).otherwise(F.col("title"))),
+        ("footer", F.when(some("footer"), "unchanged").otherwise("corrected"), F.lit("Page number (added) + classification marking (still needed)")),
+        ("page_numbers", F.when(F.coalesce("page_numbers", F.lit(False)), "unchanged").otherwise("corrected"), F.lit("true")),
+        ("classification", status, value),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("element"), st.alias("status"), v.alias("value")) for k, st, v in elements])
+    return d.select(key, F.explode(rows).alias("x")).select(key, "x.*")
+
+
+def convergence(units: DataFrame, by: list[str]) -> DataFrame:
+    """Open units of each round, and whether all are settled; findings of discipline don't count."""
+    open_ = F.col("status").isin("needs_review", "conflict") & (F.coalesce("defect_class", F.lit("")) != "discipline")
+    return units.groupBy(*by).agg(F.count("*").alias("total_units"), F.count_if(open_).alias("unresolved")).withColumn("converged", F.col("unresolved") == 0)
+
+
+def append_operations(corrections: DataFrame, more: DataFrame, target: str) -> DataFrame:
+    """The corrections, and of the proposed ones those whose target none has yet."""
+    return corrections.unionByName(more.join(corrections.select(target).distinct(), target, "left_anti").select(corrections.columns))
+
+
+def interpreted(feedback: DataFrame, targets: list[str], text: str) -> DataFrame:
+    """A rule's reading of feedback: "should be X" sets X on the first target that is named; nothing else is proposed."""
+    low = F.lower(text)
+    value = F.trim(F.regexp_extract(low, r"should be\s+(.+?)(?:,| not | instead|\.|$)", 1))
+    named = F.lit(None).cast("string")
+    for t in reversed(targets):
+        leaf = t.split(".")[-1]
+        named = F.when(F.contains(low, F.lit(leaf.replace("_", " "))) | F.contains(low, F.lit(leaf)), t).otherwise(named)
+    return feedback.withColumn("new_value", value).withColumn("target", named).withColumn("operation", F.lit("replace_field")).where("new_value <> '' AND target IS NOT NULL")

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.functions import convert, text
 from concord.functions.convert import Target
-from concord.operators import alignment, layout, library, profile, reconcile, reports, retrieval, scoring
-from concord.plans import storage
+from concord.operators import alignment, batch, layout, library, profile, reconcile, reports, retrieval, scoring
+from concord.plans.storage import cut
+from concord.plans.registry import ORACLE, QUERIES, query, table
 from concord.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLE", "QUERIES"]
 
 def _r(x: F.Column | str, n: int = 6) -> F.Column:
     return F.round(x, n)
@@ -62,30 +44,30 @@ SELECT o_orderkey, o_orderkey AS "orderId", c_name AS "customerName", round(o_to
   strftime(o_orderdate, '%Y-%m-%d') AS "orderDate", replace(o_orderpriority, '-', ';') AS "tags"
 FROM orders JOIN customer ON o_custkey = c_custkey""")
 def align_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three shapes of one table, each cluster profiled, mapped, converted and validated: the columns come back."""
-    docs, out = order_records(spark, sf_dir), None
-    for style in range(3):
-        part = alignment.align(docs.where(F.col("style") == style), ["o_orderkey"], "record", ORDER_FIELDS).where("conformant")
-        out = part if out is None else out.unionByName(part)
+    """Three shapes of one table, each cluster profiled, mapped, converted and validated in one plan: the columns come back."""
+    out = batch.align_shapes(order_records(spark, sf_dir).select("o_orderkey", "record"), "o_orderkey", "record", ORDER_FIELDS).where("conformant")
     return out.select("o_orderkey", "orderId", "customerName", _r("totalPrice").alias("totalPrice"), "orderStatus", "orderDate", F.array_join("tags", ";").alias("tags"))
 
 
-@query()
+@query("""
+WITH m(style, target, path, method) AS (VALUES
+ (0, 'orderId', 'orderId', 'exact'), (0, 'customerName', 'customerName', 'exact'), (0, 'totalPrice', 'totalPrice', 'exact'), (0, 'orderStatus', 'orderStatus', 'exact'), (0, 'orderDate', 'orderDate', 'exact'), (0, 'tags', 'tags[]', 'exact'),
+ (1, 'orderId', 'order_id', 'exact'), (1, 'customerName', 'customer_name', 'exact'), (1, 'totalPrice', 'total_price', 'exact'), (1, 'orderStatus', 'order_status', 'exact'), (1, 'orderDate', 'order_date', 'exact'), (1, 'tags', 'tags', 'exact'),
+ (2, 'orderId', 'header.orderId', 'exact'), (2, 'customerName', 'party.customerName', 'exact'), (2, 'totalPrice', 'sums.totalPrice', 'exact'), (2, 'orderStatus', 'header.orderStatus', 'exact'), (2, 'orderDate', 'header.orderDate', 'exact'), (2, 'tags', 'tags[]', 'exact'))
+SELECT CAST(style AS BIGINT) AS style, target, path, method, CAST(1.0 AS DOUBLE) AS confidence, 'mapped' AS status FROM m WHERE style IN (SELECT DISTINCT o_orderkey % 3 FROM orders)""")
 def infer_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = order_records(spark, sf_dir), None
-    for style in range(3):
-        long = storage.cut(profile.cells(docs.where(F.col("style") == style), ["o_orderkey"], "record"), "cells")
-        p = storage.cut(profile.profile(long, ["o_orderkey"]), "profile")
-        part = alignment.infer_mapping(p, alignment.target_table(spark, ORDER_FIELDS)).withColumn("style", F.lit(style))
-        out = part if out is None else out.unionByName(part)
-    return out
+    docs = order_records(spark, sf_dir).select("o_orderkey", "style", "record")
+    long = cut(profile.cells(docs, ["style", "o_orderkey"], "record"), "cells")
+    found = profile.profile(long, ["o_orderkey"], ["style"], profile.totals(docs, "record", ["style"]))
+    return alignment.infer_mapping(found, alignment.target_table(spark, ORDER_FIELDS), ["style"]).select("style", "target", "path", "method", "confidence", "status")
 
 
 @query("""
 SELECT event_type, 'k' AS path, 'integer' AS types, count(*) AS present, count(*) AS total FROM events GROUP BY event_type""")
 def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = profile.cells(table(spark, sf_dir, "events"), ["event_type", "event_id"], "props")
-    return profile.profile(long, ["event_id"], ["event_type"]).select("event_type", "path", F.array_join("types", ",").alias("types"), "present", "total")
+    total = profile.totals(table(spark, sf_dir, "events"), "props", ["event_type"])
+    return profile.profile(long, ["event_id"], ["event_type"], total).select("event_type", "path", F.array_join("types", ",").alias("types"), "present", "total")
 
 
 @query("""
@@ -112,24 +94,23 @@ def shape_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w(w) AS (VALUES ('blot'), ('widgit'), ('bracket'), ('gears'), ('screw')),
+WITH w(w) AS (VALUES ('blot'), ('widgit'), ('bracket'), ('gears'), ('screw'), ('gate')),
 n AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part),
 d AS (SELECT name, w, levenshtein(name, w) AS d, greatest(1, length(w) // 4) AS b FROM n, w WHERE abs(length(name) - length(w)) <= 2 AND length(w) >= 3)
 SELECT name, w AS word, round(0.80 + (1 - (d - 1) * 1.0 / b) * 0.06, 6) AS score FROM d WHERE d > 0 AND d <= b""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.sql("SELECT * FROM VALUES ('blot'), ('widgit'), ('bracket'), ('gears'), ('screw') AS t(word)")
+    words = spark.sql("SELECT * FROM VALUES ('blot'), ('widgit'), ('bracket'), ('gears'), ('screw'), ('gate') AS t(word)")
     names = table(spark, sf_dir, "part").select(F.split("p_name", " ")[1].alias("name")).distinct()
     near = names.select("name", F.explode(F.sequence(F.length("name") - 2, F.length("name") + 2)).alias("n")).join(F.broadcast(words.withColumn("n", F.length("word"))), "n")
-    return near.select("name", "word", _r(alignment.fuzzy_score(F.col("name"), F.col("word"))).alias("score")).where("score IS NOT NULL")
+    return near.select("name", "word", _r(alignment.fuzzy_score(F.array("name"), F.array("word"))).alias("score")).where("score IS NOT NULL")
 
 
-MESSY = "CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) WHEN 1 THEN ' 1,' || CAST(l_orderkey + 100 AS VARCHAR) WHEN 2 THEN CAST(l_orderkey AS VARCHAR) || '.5' ELSE 'n/a' END"
+MESSY = "CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) WHEN 1 THEN ' 1,' || CAST(l_orderkey + 100 AS VARCHAR) WHEN 2 THEN CAST(l_orderkey AS VARCHAR) || CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN '.5' WHEN 1 THEN '.0' ELSE 'e2' END ELSE 'n/a' END"
 
 
 @query(f"""
 WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, {MESSY} AS raw FROM lineitem), c AS (SELECT *, replace(trim(raw), ',', '') AS p FROM m)
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN regexp_matches(p, '^[+-]?[0-9]+$') THEN TRY_CAST(p AS BIGINT) END AS as_integer,
- round(CASE WHEN regexp_matches(p, '^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$') THEN TRY_CAST(p AS DOUBLE) END, 6) AS as_number FROM c""")
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN TRY_CAST(p AS DOUBLE) = floor(TRY_CAST(p AS DOUBLE)) THEN CAST(TRY_CAST(p AS DOUBLE) AS BIGINT) END AS as_integer, round(TRY_CAST(p AS DOUBLE), 6) AS as_number FROM c""")
 def cast_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(MESSY.replace("VARCHAR", "STRING")).alias("raw"))
     return raw.select("l_orderkey", "l_linenumber", "l_partkey", convert.cast_number(F.col("raw"), True).alias("as_integer"), _r(convert.cast_number(F.col("raw"), False)).alias("as_number"))
@@ -232,16 +213,17 @@ def signature_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT c_custkey, c_custkey % 17 = 0 AS declined, CASE c_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'low' END AS band, CASE c_nationkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'provisional' ELSE 'rejected' END AS state,
- c_acctbal < 0 AS drifted, CASE WHEN c_acctbal > 6000 THEN 'convertible' WHEN c_acctbal > 3000 THEN 'review' ELSE 'reject' END AS verdict, c_custkey % 4 AS required_mapped FROM customer)
-SELECT CASE WHEN declined OR band = 'moderate' AND state = 'rejected' THEN 'declined' WHEN state = 'approved' AND band = 'high' AND NOT drifted THEN 'replay_clean' WHEN state = 'approved' AND band IN ('high', 'moderate') THEN 'drift_repair'
- WHEN verdict = 'convertible' OR verdict = 'reject' AND required_mapped > 0 OR verdict = 'review' THEN 'novel_research' ELSE 'review' END AS pathway, count(*) AS n_docs FROM c GROUP BY 1""")
+WITH c AS (SELECT c_custkey, CASE c_custkey % 17 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' WHEN 2 THEN 'low' END AS rejected, CASE c_custkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' WHEN 2 THEN 'low' END AS approved,
+ c_acctbal < 0 AS drifted, CASE WHEN c_acctbal > 6000 THEN 'convertible' WHEN c_acctbal > 3000 THEN 'review' ELSE 'reject' END AS verdict, c_nationkey % 2 AS required, c_nationkey % 3 = 0 AS research FROM customer)
+SELECT research, CASE WHEN rejected IN ('high', 'moderate') THEN 'declined' WHEN approved = 'high' AND NOT drifted THEN 'replay_clean' WHEN approved IN ('high', 'moderate') THEN 'drift_repair'
+ WHEN verdict = 'review' THEN 'review' WHEN verdict = 'convertible' THEN CASE WHEN research THEN 'novel_research' ELSE 'review' END WHEN research AND required > 0 THEN 'novel_research' ELSE 'reject_irrelevant' END AS pathway, count(*) AS n_docs FROM c GROUP BY ALL""")
 def pathway_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    pick = lambda k, a, b, d: F.when(k == 0, a).when(k == 1, b).otherwise(d)
+    band = lambda k: F.when(k == 0, "high").when(k == 1, "moderate").when(k == 2, "low")
     verdict = F.when(F.col("c_acctbal") > 6000, "convertible").when(F.col("c_acctbal") > 3000, "review").otherwise("reject")
-    way = alignment.pathway(F.col("c_custkey") % 17 == 0, pick(F.col("c_custkey") % 3, "high", "moderate", "low"), pick(F.col("c_nationkey") % 3, "approved", "provisional", "rejected"), F.col("c_acctbal") < 0, verdict, F.col("c_custkey") % 4)
-    return c.groupBy(way.alias("pathway")).agg(F.count("*").alias("n_docs"))
+    ways = [alignment.pathway(band(F.col("c_custkey") % 17), band(F.col("c_custkey") % 4), F.col("c_acctbal") < 0, verdict, F.col("c_nationkey") % 2, on) for on in (True, False)]
+    research = F.col("c_nationkey") % 3 == 0
+    return c.groupBy(research.alias("research"), F.when(research, ways[0]).otherwise(ways[1]).alias("pathway")).agg(F.count("*").alias("n_docs"))
 
 
 @query("""
@@ -279,7 +261,7 @@ def output_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HASHED = """
 {0}w AS (SELECT {1}, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM {2}),
-{0}s AS (SELECT {1}, ('0x' || substr(md5(t), 31, 2))::INT AS slot, sum(CASE WHEN ('0x' || substr(md5(t), 30, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM {0}w GROUP BY ALL),
+{0}s AS (SELECT {1}, ('0x' || substr(md5(t), 31, 2))::INT AS slot, sum(CASE WHEN ('0x' || substr(md5(t), 30, 1))::INT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM {0}w GROUP BY ALL),
 {0}n AS (SELECT {1}, sqrt(sum(v * v)) AS n FROM {0}s GROUP BY 1),
 {0}v AS (SELECT {0}s.{1}, slot, v / n AS value FROM {0}s JOIN {0}n USING ({1}) WHERE n > 0 AND v <> 0)"""
 COSINE = f"WITH {HASHED.format('d', 'doc_id', 'documents')}, {HASHED.format('q', 'item_id', '(SELECT * FROM benchmark WHERE item_id % 50 = 0)')}, c AS (SELECT item_id, doc_id, round(sum(dv.value * qv.value), 9) AS cosine FROM dv JOIN qv USING (slot) GROUP BY ALL)"
@@ -400,17 +382,20 @@ def converge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.rounds(table(spark, sf_dir, "conversations"), "conv_id", "turn").groupBy("r").agg(F.count("*").alias("n_in_force"), F.sum("turn").alias("turns"))
 
 
-PROPOSED = "(SELECT conv_id AS unit, list(DISTINCT role) AS candidates FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE turn >= m - 1 AND conv_id % 3 <> 0 GROUP BY 1)"
+PROPOSED = "(SELECT conv_id AS unit, list(DISTINCT role) AS candidates, first(role ORDER BY turn::VARCHAR) AS one FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE turn >= m - unit_rounds GROUP BY 1)".replace("unit_rounds", "conv_id % 2")
 RESOLVED = f"""
-WITH u AS (SELECT doc_id AS unit, CASE WHEN doc_id % 4 <> 1 THEN CASE doc_id % 2 WHEN 0 THEN 'user' ELSE lang END END AS draft, CASE WHEN doc_id % 7 = 0 THEN lang END AS fact FROM documents),
-j AS (SELECT unit, draft, fact, coalesce(len(candidates), 0) AS n_candidates, CASE WHEN len(candidates) > 1 THEN NULL ELSE coalesce(fact, candidates[1], draft) END AS value FROM u LEFT JOIN {PROPOSED} USING (unit)),
-s AS (SELECT unit, n_candidates, value, CASE WHEN n_candidates > 1 THEN 'conflict' WHEN value IS NULL THEN 'needs_review' WHEN draft IS NULL OR draft = '' THEN 'filled' WHEN draft <> value THEN 'corrected' ELSE 'unchanged' END AS status FROM j)"""
+WITH u AS (SELECT doc_id AS unit, CASE WHEN doc_id % 4 <> 1 THEN CASE doc_id % 3 WHEN 0 THEN ' User ' ELSE lang END END AS draft, CASE doc_id % 7 WHEN 0 THEN lang WHEN 3 THEN 'user' END AS fact FROM documents),
+j AS (SELECT unit, coalesce(draft, '') AS draft, fact, coalesce(len(candidates), 0) AS n_candidates, one FROM u LEFT JOIN {PROPOSED} USING (unit)),
+s AS (SELECT unit, n_candidates, CASE WHEN n_candidates > 1 THEN NULL ELSE coalesce(fact, one, nullif(draft, '')) END AS value,
+ CASE WHEN n_candidates > 1 THEN 'conflict' WHEN fact IS NOT NULL THEN CASE WHEN draft = '' THEN 'filled' WHEN lower(trim(draft)) <> lower(trim(fact)) THEN 'corrected' ELSE 'unchanged' END
+ WHEN n_candidates = 1 THEN CASE WHEN draft = '' THEN 'filled' ELSE 'corrected' END ELSE 'needs_review' END AS status FROM j)"""
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.when(F.col("doc_id") % 4 != 1, F.when(F.col("doc_id") % 2 == 0, "user").otherwise(F.col("lang"))).alias("draft"), F.when(F.col("doc_id") % 7 == 0, F.col("lang")).alias("fact"))
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("unit"), "turn", "role", F.max("turn").over(Window.partitionBy("conv_id")).alias("m")).where("turn >= m - 1 AND unit % 3 <> 0")
-    return reconcile.resolve_units(units, c, "unit", "draft", "fact", "role")
+    d = F.col("doc_id")
+    units = table(spark, sf_dir, "documents").select(d.alias("unit"), F.when(d % 4 != 1, F.when(d % 3 == 0, " User ").otherwise(F.col("lang"))).alias("draft"), F.when(d % 7 == 0, F.col("lang")).when(d % 7 == 3, "user").alias("fact"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("unit"), "turn", "role", F.max("turn").over(Window.partitionBy("conv_id")).alias("m")).where("turn >= m - unit % 2")
+    return reconcile.resolve_units(units, c, "unit", "draft", "fact", "role", "turn").select("unit", "n_candidates", "value", "status")
 
 
 @query(RESOLVED + " SELECT * FROM s")
@@ -488,9 +473,9 @@ def line_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.lines(words).select("page", "line", F.size(F.split("text", " ")).cast("long").alias("n_words"), "x0")
 
 
-@query("SELECT props->>'$.k' AS project, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT props->>'$.k' AS project, event_type, count(*) AS n FROM events WHERE props->>'$.k' IS NOT NULL GROUP BY ALL")
 def job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.job_counts(table(spark, sf_dir, "events"), "props", "event_type")
+    return reports.job_counts(table(spark, sf_dir, "events"), "props", "event_type", "$.k")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'view') ORDER BY value DESC, ts, event_id LIMIT 1")
@@ -534,9 +519,15 @@ def route_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, trim(regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', ' ', 'g'))) AS grounded FROM conversations""")
+WITH v AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN upper(right(text, 20)) ELSE role || '  ' || turn END AS value FROM conversations),
+n AS (SELECT c.conv_id, c.turn, trim(regexp_replace(lower(v.value), '\\s+', ' ', 'g')) AS v, trim(regexp_replace(lower(p.text), '\\s+', ' ', 'g')) AS t FROM conversations c JOIN v USING (conv_id, turn) LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = 0)
+SELECT conv_id, turn, v = '' OR coalesce(contains(t, v), false) AS grounded FROM n""")
 def grounded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reconcile.grounded(F.substring("text", 1, 30), F.col("text")).alias("grounded"))
+    """Values of each turn in the first turn's text: an empty one, its own end in upper case, and one that is made up."""
+    c = table(spark, sf_dir, "conversations")
+    value = F.when(F.col("conv_id") % 3 == 0, "").when(F.col("conv_id") % 3 == 1, F.upper(F.right("text", F.lit(20)))).otherwise(F.concat("role", F.lit("  "), F.col("turn").cast("string")))
+    first = c.where("turn = 0").select("conv_id", F.col("text").alias("corpus"))
+    return c.select("conv_id", "turn", value.alias("value")).join(first, "conv_id", "left").select("conv_id", "turn", F.coalesce(reconcile.grounded(F.col("value"), F.col("corpus")), F.lit(False)).alias("grounded"))
 
 
 @query("""
@@ -558,5 +549,10 @@ def correction_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'completed' WHEN doc_id % 2 = 0 THEN 'processing' ELSE 'pending' END AS status FROM documents""")
 def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    stages = F.array(F.when(d % 5 == 0, "failed").when(d % 3 == 0, "completed").when(d % 2 == 0, "completed").otherwise("pending"), F.when(d % 3 == 0, "skipped").otherwise("pending"))
+    second = F.when(d % 3 == 0, "skipped").when(d % 2 == 0, "processing").otherwise("pending")
+    stages = F.when(d % 7 == 1, F.filter(F.array(F.when(d % 5 == 0, "failed").when(d % 3 == 0, "completed").when(d % 2 == 0, "processing")), lambda x: x.isNotNull()))
+    stages = stages.otherwise(F.array(F.when(d % 5 == 0, "failed").otherwise("completed"), second))
     return table(spark, sf_dir, "documents").select("doc_id", reports.overall_status(stages).alias("status"))
+
+
+from concord.plans import alignment_queries, layout_queries, library_queries, reconcile_queries  # noqa: E402, F401  they list more queries

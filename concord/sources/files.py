@@ -16,30 +16,41 @@ from pyspark.sql import functions as F
 PARSERS = {"md": "markdown", "markdown": "markdown", "txt": "text", "docx": "docx", "pptx": "pptx", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "tif": "image", "tiff": "image"}
 
 
-def route(path: Column) -> Column:
-    """The parser for a file name; anything unknown is text."""
+#: fixed values: parser by the beginning of a MIME type
+MIME = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml": "docx", "application/vnd.openxmlformats-officedocument.presentationml": "pptx", "image/": "image", "text/markdown": "markdown", "text/": "text"}
+
+
+def route(path: Column, mime: Column | None = None) -> Column:
+    """The parser by a file name's extension, then by MIME type; anything unknown is text."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     table = F.create_map(*[F.lit(x) for kv in PARSERS.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, ext), F.lit("text"))
+    told = F.lit(None).cast("string")
+    for begin, parser in reversed(MIME.items()):
+        told = F.when(mime.startswith(begin), parser).otherwise(told) if mime is not None else told
+    return F.coalesce(F.try_element_at(table, ext), told, F.lit("text"))
 
 
-def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, rec_idx, record: a file is a record or an array of them."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1).alias("doc_id"), F.try_parse_json("value").alias("v"))
-    one = files.where(~F.schema_of_variant("v").startswith("ARRAY")).selectExpr("doc_id", "0 AS rec_idx", "to_json(v) AS record")
+def json_documents(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.json)?$") -> DataFrame:
+    """doc_id (from the file's path), rec_idx, record: a file is a record or an array of them; one that can't be read gives a row without a record."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), name, 1).alias("doc_id"), F.try_parse_json("value").alias("v"))
+    one = files.where(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("ARRAY")).selectExpr("doc_id", "0 AS rec_idx", "to_json(v) AS record")
     several = files.where(F.schema_of_variant("v").startswith("ARRAY")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).selectExpr("doc_id", "`pos` AS rec_idx", "to_json(value) AS record")
     return one.unionByName(several)
 
 
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def blocks(docs: DataFrame, doc: str, text: str, markdown: Column | None = None) -> DataFrame:
     """A block for each line that isn't blank: type, heading flag and the heading above it."""
     md = markdown if markdown is not None else F.lit(True)
-    lines = docs.select(doc, md.alias("_md"), F.posexplode(F.split(F.col(text), "\n")).alias("ord", "line")).where(F.trim("line") != "")
-    heading = F.col("_md") & F.col("line").rlike("^#{1,6} ")
-    item = F.col("_md") & F.col("line").rlike(r"^[-*] ")
-    clean = F.when(heading, F.regexp_replace("line", "^#+ +", "")).when(item, F.regexp_replace("line", "^[-*] +", "")).otherwise(F.col("line"))
-    out = lines.select(doc, "ord", F.when(heading, "heading").when(item, "list_item").otherwise("paragraph").alias("type"), F.trim(clean).alias("text"))
-    above = F.last(F.when(F.col("type") == "heading", F.col("text")), True).over(Window.partitionBy(doc).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    lines = docs.select(doc, md.alias("_md"), F.posexplode(F.split(F.col(text), LINE_END)).alias("ord", "line")).where(~F.col("line").rlike(r"^\s*$"))
+    bare = F.regexp_replace("line", r"^\s+", "")
+    heading = F.col("_md") & bare.startswith("#")
+    item = F.col("_md") & bare.rlike(r"^[-*] ")
+    out = lines.select(doc, "ord", F.when(heading, "heading").when(item, "list_item").otherwise("paragraph").alias("type"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("text"))
+    title = F.when(F.col("type") == "heading", F.trim(F.regexp_replace("text", "^[# ]+", "")))
+    above = F.last(title, True).over(Window.partitionBy(doc).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     return out.select("*", above.alias("section"), (F.col("type") == "heading").alias("heading"))
 
 
