@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FEWER = 4  # shuffle partitions that make one file of a small table
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.  Only a local session may go without one: its executors are this machine."""
@@ -19,8 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write the table and read it back, so that what is built on it reads files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, name: str, row_group_mb: int | None = None, small: bool = False) -> DataFrame:
+    """Write the table and read it back, so that what is built on it reads files; they go when the driver ends.
+
+    A ``small`` table, of a few numbers a row, is written in fewer files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FEWER))
+    writer = df.write
+    if row_group_mb:
+        writer = writer.option("parquet.block.size", row_group_mb << 20).option("compression", "zstd")
+    writer.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
