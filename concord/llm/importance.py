@@ -1,10 +1,11 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-Two bag models over hashed words and word pairs: the target's from labelled good documents
+Two bag models over hashed words, word pairs and stems: the target's from labelled good documents
 (quality 1, not toxic), the raw one's from all documents.  A text's log importance weight is
 the mean log ratio of its n-grams.  The floor below which a document has no weight at all, and
 is rejected, is calibrated on labelled documents that the target model has not seen: a logistic
-curve over the weight and over how much of the text, and how strongly, the raw model prefers.
+curve over the weight, over how much of the text, and how strongly, the raw model prefers, and
+over what words a third model, of the labelled documents that are not good, prefers to the target's.
 Of the rest, ``fraction`` is drawn without replacement by Gumbel top-k; the noise is a hash of
 the document, so a lost task draws the same.
 
@@ -32,8 +33,9 @@ from . import common
 from .hashing import Prefix, U, mix
 from .packing import first_of_runs, pack, unpack
 
-WORDS, PAIRS = 1 << 20, 1 << 18  # buckets
-SIZE = WORDS + PAIRS
+WORDS, PAIRS, STEMS = 1 << 20, 1 << 18, 1 << 16  # buckets
+SIZE = WORDS + PAIRS + STEMS
+STEM = 6  # bytes
 SEGMENT = 1 << 15
 PRIOR = 5.0
 MAX_LABELS = 200_000
@@ -55,7 +57,7 @@ BREAKS = _breaks()
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and pairs of each text, and the text of each."""
+    """Buckets of the words, pairs and stems (first bytes of longer words) of each text, and the text of each."""
     low = BREAKS[data]
     blank = low == 32
     edge = np.zeros(len(low) + 1, bool)
@@ -67,12 +69,15 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = Prefix(low).of(starts, ends)
+    prefix = Prefix(low)
+    words = prefix.of(starts, ends)
     doc = np.searchsorted(offsets, starts, "right") - 1
     inner = ~first_of_runs(doc)
     pairs = mix(words[:-1] * U(3) + words[1:])[inner[1:]]
-    buckets = np.concatenate((words % U(WORDS), pairs % U(PAIRS) + U(WORDS))).astype(np.int64)
-    return buckets, np.concatenate((doc, doc[inner]))
+    long = ends - starts >= STEM
+    stems = prefix.of(starts[long], starts[long] + STEM)
+    buckets = np.concatenate((words % U(WORDS), pairs % U(PAIRS) + U(WORDS), stems % U(STEMS) + U(WORDS + PAIRS))).astype(np.int64)
+    return buckets, np.concatenate((doc, doc[inner], doc[long]))
 
 
 def _labels(labels: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,13 +101,13 @@ def _find(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 COUNTS = "k int, part int, blob binary"
 
 
-def log_ratios(docs: DataFrame, labels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of each bucket, log of its share in the target over its share in the raw text."""
+def log_ratios(docs: DataFrame, labels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket, log of its share in the target over its share in the raw text; and of its share in the labelled rest over that in the target."""
     sent = docs.sparkSession.sparkContext.broadcast(labels)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, good, held = sent.value
-        raw, target = np.zeros(SIZE, np.uint32), np.zeros(SIZE, np.uint32)
+        raw, target, bad = (np.zeros(SIZE, np.uint32) for _ in range(3))
 
         def sums() -> pa.RecordBatch:
             """The counts so far, of the buckets met."""
@@ -110,7 +115,7 @@ def log_ratios(docs: DataFrame, labels: tuple[np.ndarray, np.ndarray, np.ndarray
             for k in range(SIZE // SEGMENT):
                 met = np.flatnonzero(raw[k * SEGMENT : (k + 1) * SEGMENT])
                 if len(met):
-                    counts = raw[k * SEGMENT + met], target[k * SEGMENT + met]
+                    counts = [x[k * SEGMENT + met] for x in (raw, target, bad)]
                     keys.append(k)
                     blobs.append(pack((met, 2), *((c, max(1, (int(c.max()).bit_length() + 7) // 8)) for c in counts)))
             part = TaskContext.get().partitionId()
@@ -123,44 +128,52 @@ def log_ratios(docs: DataFrame, labels: tuple[np.ndarray, np.ndarray, np.ndarray
             for i, j in common.pieces(offsets):
                 buckets, doc = ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = _find(ids, names[i:j])
-                ours = (at >= 0) & good[at] & ~held[at] if len(ids) else np.zeros(j - i, bool)
                 np.add.at(raw, buckets, 1)
-                if ours.any():
-                    np.add.at(target, buckets[ours[doc]], 1)
+                if len(ids):
+                    ours = (at >= 0) & ~held[at]
+                    for counts, mine in ((target, ours & good[at]), (bad, ours & ~good[at])):
+                        if mine.any():
+                            np.add.at(counts, buckets[mine[doc]], 1)
                 most += len(buckets)
             if most > 1 << 31:  # before a count can overflow
                 yield sums()
-                raw[:], target[:], most = 0, 0, 0
+                for counts in (raw, target, bad):
+                    counts[:] = 0
+                most = 0
         yield sums()
 
     def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(SEGMENT, U), np.zeros(SEGMENT, U)
+        total = np.zeros((3, SEGMENT), U)
         for batch in batches:
             for blob in batch.column("blob"):
-                met, a, b = unpack(blob.as_py())
+                met, *counts = unpack(blob.as_py())
                 met = met.astype(np.int64)
-                raw[met] += a
-                target[met] += b
-        met = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([pack((met, 2), (raw[met], 8), (target[met], 8))], pa.binary())], ["k", "part", "blob"])
+                for sums, more in zip(total, counts, strict=True):
+                    sums[met] += more
+        met = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([pack((met, 2), *((x[met], 8) for x in total))], pa.binary())], ["k", "part", "blob"])
 
     # two levels, so that no group gets a row from every task
     spread = math.isqrt(common.partitions(docs)) + 1
     rows = docs.mapInArrow(common.lean(counted), COUNTS)
     for key in (F.pmod("part", F.lit(spread)), F.lit(0)):
         rows = rows.groupBy("k", key.alias("some")).applyInArrow(added, COUNTS)
-    raw, target = np.zeros(SIZE), np.zeros(SIZE)
+    raw, target, bad = np.zeros((3, SIZE))
     for k, _, blob in rows.collect():
-        met, a, b = unpack(blob)
+        met, *counts = unpack(blob)
         at = k * SEGMENT + met.astype(np.int64)
-        raw[at], target[at] = a, b
-    share = target.sum() / max(raw.sum(), 1)
-    if not share:
-        return np.zeros(SIZE)
-    return np.log((target + PRIOR * share) / (raw + PRIOR) / share)
+        raw[at], target[at], bad[at] = counts
 
+    def against_raw(own: np.ndarray) -> np.ndarray:
+        share = own.sum() / max(raw.sum(), 1)
+        return np.log((own + PRIOR * share) / (raw + PRIOR) / share) if share else np.zeros(SIZE)
 
-FEATURES = ["weight", "against", "density", "strong", "strongest"]
+    good_ratio = against_raw(target)
+    return good_ratio, against_raw(bad) - good_ratio if bad.any() and target.any() else np.zeros(SIZE)
+
+
+FEATURES = ["weight", "against", "density", "strong", "strongest", "blame", "worst"]
+BLAME = 2.5  # of a word's log ratio to the labelled rest, what lies above counts
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -179,14 +192,13 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, labels: DataFrame, name: str = "quality", max_labels: int = MAX_LABELS) -> DataFrame:
     """``docs`` with a struct column: log_weight, gumbel_key, kept (not rejected)."""
     known = _labels(labels, max_labels)
-    ratios = log_ratios(common.documents(docs), known)
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(ratios.astype(np.float32))
+    sent = spark.sparkContext.broadcast([x.astype(np.float32) for x in log_ratios(common.documents(docs), known)])
 
     def features(ids: pa.Array, texts: pa.Array) -> pa.StructArray:
-        own = sent.value
+        own, rest = sent.value
         data, offsets = common.text_buffer(texts)
-        out: list[np.ndarray] = [np.zeros((0, 5))]
+        out: list[np.ndarray] = [np.zeros((0, len(FEATURES)))]
         for i, j in common.pieces(offsets):
             buckets, doc = ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             r, n = own[buckets].astype(float), j - i
@@ -195,30 +207,34 @@ def score(docs: DataFrame, labels: DataFrame, name: str = "quality", max_labels:
             single = buckets < WORDS
             against = np.bincount(doc, np.minimum(r + 1, 0), n)
             strong = np.bincount(doc[single], np.minimum(r[single] + 2, 0), n)
-            least = np.zeros(n)
+            alone = (buckets < WORDS) | (buckets >= WORDS + PAIRS)
+            blamed = rest[buckets[alone]].astype(float)
+            blame = np.bincount(doc[alone], np.maximum(blamed - BLAME, 0), n)
+            least, most = np.zeros(n), np.zeros(n)
             firsts = np.flatnonzero(first_of_runs(doc[single]))
             if len(firsts):
                 least[doc[firsts]] = np.minimum.reduceat(r[single], firsts)
-            out.append(np.column_stack((np.bincount(doc, r, n) / per, np.log1p(-against), -against / per, np.log1p(-strong), least)))
+            np.maximum.at(most, doc[alone], blamed)
+            out.append(np.column_stack((np.bincount(doc, r, n) / per, np.log1p(-against), -against / per, np.log1p(-strong), least, np.log1p(blame), most)))
             out[-1][count == 0] = np.nan
         x = np.concatenate(out)
         gone = np.isnan(x[:, 0])
         x[gone] = 0
-        parts = [pa.array(x[:, k]) for k in range(5)]
+        parts = [pa.array(x[:, k]) for k in range(len(FEATURES))]
         return pa.StructArray.from_arrays([*parts, pa.array(~gone)], [*FEATURES, "words"])
 
     raw = common.free_name(docs, "_features")
     plain = docs.withColumns({"text": F.col("text").cast("string")})
     scored = common.append(plain, ["doc_id", "text"], features, ", ".join(f"{f}: double" for f in FEATURES) + ", words: boolean", raw)
     ids, good, held = known
-    coefficients, floor = np.zeros(6), -1.0
+    coefficients, floor = np.zeros(len(FEATURES) + 1), -1.0
     if held.any() and 0 < good[held].sum() < held.sum():
         wanted = spark.createDataFrame([(int(i), bool(g)) for i, g in zip(ids[held].tolist(), good[held].tolist(), strict=True)], "d long, g boolean")
         few = common.append(common.documents(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("d")), ["doc_id", "text"], features, ", ".join(f"{f}: double" for f in FEATURES) + ", words: boolean", "x")
         rows = few.select("g", "x.*").where("words").drop("words").limit(max_labels).toPandas()
         if rows["g"].nunique() == 2:
             coefficients, floor = _fit(rows[FEATURES].to_numpy(), rows["g"].to_numpy().astype(float))
-    logit = F.expr(" + ".join([repr(float(coefficients[5])) + "D", *[f"{float(c)!r}D * {raw}.{f}" for c, f in zip(coefficients, FEATURES, strict=False)]]))
+    logit = F.expr(" + ".join([repr(float(coefficients[-1])) + "D", *[f"{float(c)!r}D * {raw}.{f}" for c, f in zip(coefficients, FEATURES, strict=False)]]))
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     kept = F.col(f"{raw}.words") & (logit >= floor)
     weight = F.round(F.col(f"{raw}.weight"), 9)
