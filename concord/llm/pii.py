@@ -135,6 +135,14 @@ def _spans(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
     return df.withColumn(name, F.when(F.size(m) > 0, F.expr(placed)).otherwise(F.array().cast(f"array<{SPAN}>"))).drop(m, p, z, c)
 
 
+def _chained(spans: str, item: str) -> str:
+    """Spans in order of place, as an array of chains: each begins where all before it have ended.  One step a span."""
+    start = f"named_struct('done', cast(array() as array<array<{item}>>), 'now', cast(array() as array<{item}>), 'end', -1L)"
+    new = f"named_struct('done', CASE WHEN size(a.now) = 0 THEN a.done ELSE array_append(a.done, a.now) END, 'now', array_append(cast(array() as array<{item}>), x), 'end', x.e)"
+    more = "named_struct('done', a.done, 'now', array_append(a.now, x), 'end', greatest(a.end, x.e))"
+    return f"aggregate({spans}, {start}, (a, x) -> CASE WHEN x.s < a.end THEN {more} ELSE {new} END, a -> CASE WHEN size(a.now) = 0 THEN a.done ELSE array_append(a.done, a.now) END)"
+
+
 def scan(docs: DataFrame, name: str = "pii") -> DataFrame:
     """``docs`` with a struct column: base and spans, arrays of (s, k, e, kind) in order of place and kind."""
     trees, limit = model()
@@ -154,11 +162,16 @@ def scan(docs: DataFrame, name: str = "pii") -> DataFrame:
         proposed.append(F.expr(f"filter(transform(`{labels[kind]}`, x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'kind', '{kind}', 'p', {score})), x -> x.p >= {limit!r}D)"))
     more = common.free_name(df, "_more")
     df = df.withColumn(more, F.concat(*proposed))
-    # base spans come first; then the likeliest proposal (then the longest, then the earlier kind) that overlaps none kept before
-    free = f"filter(`{more}`, x -> NOT exists(`{first}`, y -> y.s < x.e AND x.s < y.e))"
+    # Spans that overlap in a chain are settled among themselves: base spans come first; then the
+    # likeliest proposal (then the longest, then the earlier kind) that overlaps none kept before.
+    item = "struct<s:bigint,k:int,e:bigint,kind:string,p:double>"
+    based = f"transform(`{first}`, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'kind', x.kind, 'p', 2D))"
+    free = "filter(c, x -> x.p < 2D AND NOT exists(c, y -> y.p = 2D AND y.s < x.e AND x.s < y.e))"
     ranked = f"array_sort(transform({free}, x -> named_struct('p', -x.p, 'size', x.s - x.e, 'k', x.k, 's', x.s, 'e', x.e, 'kind', x.kind)))"
     span = "struct<s:bigint,k:int,e:bigint,kind:string>"
-    df = df.withColumn(more, F.expr(f"aggregate({ranked}, cast(array() as array<{span}>), (a, x) -> CASE WHEN exists(a, y -> y.s < x.e AND x.s < y.e) THEN a ELSE array_append(a, named_struct('s', x.s, 'k', x.k, 'e', x.e, 'kind', x.kind)) END)"))
+    kept = f"aggregate({ranked}, cast(array() as array<{span}>), (a, x) -> CASE WHEN exists(a, y -> y.s < x.e AND x.s < y.e) THEN a ELSE array_append(a, named_struct('s', x.s, 'k', x.k, 'e', x.e, 'kind', x.kind)) END)"
+    chains = _chained(f"array_sort(concat({based}, cast(`{more}` as array<{item}>)))", item)
+    df = df.withColumn(more, F.when(F.size(more) > 0, F.expr(f"flatten(transform({chains}, c -> {kept}))")).otherwise(F.array().cast(f"array<{span}>")))
     result = F.struct(F.col(first).alias("base"), F.array_sort(F.concat(F.col(first), F.col(more))).alias("spans"))
     return df.select(*[F.col(f"`{c}`") for c in given], result.alias(name))
 
@@ -168,21 +181,21 @@ def joined(spans: str) -> Column:
 
 
 def digest(scanned: DataFrame, name: str = "pii") -> DataFrame:
-    """The columns of the contract."""
+    """The columns of the contract, and the number of all spans."""
     counts = [F.expr(f"cast(size(filter({name}.base, x -> x.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in BASE]
-    return scanned.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(joined(f"{name}.base"), 256).alias("base_sha256"), joined(f"{name}.spans").alias("spans"))
+    return scanned.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(joined(f"{name}.base"), 256).alias("base_sha256"), joined(f"{name}.spans").alias("spans"), F.size(f"{name}.spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each run of spans replaced by its kind in brackets; overlapping spans become one."""
     name = common.free_name(docs, "pii")
     df = scan(docs, name)
-    # a run is led by a span that begins at or after the end of all before it
-    order = f"array_sort({name}.spans)"
-    ends = common.free_name(df, "_ends")
-    df = df.withColumn(ends, F.expr(f"filter(transform({order}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'lead', NOT exists({order}, y -> y.s < x.s AND y.e > x.s OR y.s = x.s AND (y.e > x.e OR y.e = x.e AND y.k < x.k)), 'end', x.e)), x -> x.lead)"))
+    # a run of overlapping spans has the kind of its first: of those that begin there the longest, then the earlier kind
+    item = "struct<s:bigint,k:int,e:bigint,kind:string>"
     cuts = common.free_name(df, "_cuts")
-    df = df.withColumn(cuts, F.expr(f"transform(`{ends}`, x -> named_struct('s', x.s, 'kind', x.kind, 'e', aggregate(filter({order}, y -> y.s >= x.s), x.e, (a, y) -> CASE WHEN y.s < a THEN greatest(a, y.e) ELSE a END)))"))
+    chains = _chained(f"array_sort({name}.spans)", item)
+    led = "array_min(transform(filter(c, x -> x.s = c[0].s), x -> named_struct('e', -x.e, 'k', x.k, 'kind', x.kind))).kind"
+    df = df.withColumn(cuts, F.expr(f"transform({chains}, c -> named_struct('s', c[0].s, 'kind', {led}, 'e', array_max(transform(c, x -> x.e))))"))
     pieces = F.expr(
         f"concat(array_join(transform(`{cuts}`, (x, i) -> concat(substring(text, cast(CASE WHEN i = 0 THEN 0 ELSE `{cuts}`[i - 1].e END + 1 as int), cast(x.s - CASE WHEN i = 0 THEN 0 ELSE `{cuts}`[i - 1].e END as int)), '[', upper(x.kind), ']')), ''), substring(text, cast(element_at(`{cuts}`, -1).e + 1 as int)))"
     )
