@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,19 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TARGET_BYTES = 32 << 20
+from concord.plans import storage
+from concord.plans.storage import shared_dir
 
+__all__ = ["shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  A local one is made only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="concord-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+TARGET_BYTES = 32 << 20
 
 
 BATCH_BYTES = 4 << 20
@@ -49,11 +40,9 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-def cut(df: DataFrame, name: str, row_group_mb: int = 16) -> DataFrame:
-    """Write a table into the shared folder and read it back: later stages never recompute it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", row_group_mb << 20).option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """The table written into the shared folder and read again, in row groups that workers can hold."""
+    return storage.cut(df, name, 16, small)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -215,13 +215,13 @@ def _groups(table: pa.Table) -> pa.Table:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of undirected links (a, b); the root is the smallest node.  Least labels spread, and jump along themselves."""
-    both = common.cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    now = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    both = common.cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", small=True)
+    now = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels", small=True)
     while True:
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         least = now.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("via"))
         jump = now.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        stepped = common.cut(least.join(jump, "via").select("node", "old", F.least("via", "far").alias("root")), "labels")
+        stepped = common.cut(least.join(jump, "via").select("node", "old", F.least("via", "far").alias("root")), "labels", small=True)
         changed = stepped.where("old <> root").limit(1).count()
         now = stepped.select("node", "root")
         if not changed:
@@ -408,7 +408,7 @@ def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE,
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     stars = _unpacked(met.where("kind = 0").select("blob")).distinct()
-    links = common.cut(linked(near(stars)), "links")
+    links = common.cut(linked(near(stars)), "links", small=True)
     labels = components(links)
     members = _unpacked(met.where("kind = 1").select("blob")).select(F.col("a").alias("name"), F.col("b").alias("node"))
     labelled = members.join(labels, "node", "left").select("name", "node", F.coalesce("root", "node").alias("root"))
@@ -419,7 +419,7 @@ def rooted_rows(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE,
     rest = rest.join(nodes.select("node", "size", "sketch").join(least, "node"), "node").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     meets = F.expr("explode(transform(sequence(0L, blocks - 1), x -> least(x, block) * blocks + greatest(x, block)))")
     more = rest.select("*", meets.alias("meet")).groupBy("name", "meet").applyInArrow(across, PAIRS).distinct().join(stars, ["a", "b"], "left_anti")
-    more = common.cut(linked(more), "links")
+    more = common.cut(linked(more), "links", small=True)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
