@@ -118,18 +118,18 @@ def _fits() -> tuple[Column, Column, Column]:
     return pattern, range_, vocabulary
 
 
-def contradicted() -> Column:
-    """No example fits the pattern, the range or the vocabulary; or a name's examples are all addresses, times or regions."""
+def contradicted(fits: list[str]) -> Column:
+    """By the columns of ``_fits`` no example fits the pattern, the range or the vocabulary; or a name's examples are all addresses, times or regions."""
     strings = F.transform(F.filter(F.arrays_zip("examples", "example_types"), lambda x: x["example_types"] == "string"), lambda x: F.trim(x["examples"]))
     odd = lambda v: v.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$") | v.rlike(r"^(?i:https?://|www\.)") | v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
     name = F.col("target").isin(NAME_LIKE) & ~F.col("listed") & F.col("pattern").isNull() & (F.size(strings) > 0)
-    misfit = [~F.coalesce(x, F.lit(True)) for x in _fits()]
+    misfit = [~F.coalesce(x, F.lit(True)) for x in fits]
     return (F.size("examples") > 0) & (misfit[0] | misfit[1] | misfit[2] | (name & (F.forall(strings, odd) | F.forall(strings, region))))
 
 
-def corroborated() -> Column:
+def corroborated(fits: list[str]) -> Column:
     """Some example fits what the target declares, or both are lists."""
-    pattern, range_, vocabulary = (F.coalesce(x, F.lit(False)) for x in _fits())
+    pattern, range_, vocabulary = (F.coalesce(x, F.lit(False)) for x in fits)
     return (F.size("examples") > 0) & (pattern | range_ | vocabulary | (F.array_contains("want", F.lit("array")) & F.array_contains("types", F.lit("array"))))
 
 
@@ -172,28 +172,27 @@ def candidates(profile: DataFrame, target: DataFrame, by: list[str] | None = Non
 def scored(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The first tier that fits gives the score.  A list for a scalar is never taken; below the alias tier values have a veto."""
     tokens, want, bag, want_bag = F.col("tokens"), F.col("t_tokens"), F.array_union("tokens", "desc_tokens"), F.array_union("t_tokens", "t_desc")
-    name = text.token_key(tokens)
-    boost = F.when(corroborated(), F.lit(BOOST)).otherwise(F.lit(0.0))
-    ok = compatible(F.coalesce(F.try_element_at("types", F.lit(1)), F.lit("null")), F.col("want"))
     both = lambda a, b: F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(text.jaccard(a, b))
-    overlap = F.greatest(both(bag, want_bag), both(tokens, want_bag), both(bag, want))
-    fuzzy = fuzzy_score(tokens, want)
-    none = F.lit(None).cast("double")
+    fits = {f"_fits{k}": x for k, x in enumerate(_fits())}
+    seen = pairs.withColumns({"_name": text.token_key(tokens), "_want": text.token_key(want), "_fuzzy": fuzzy_score(tokens, want), "_ok": compatible(F.coalesce(F.try_element_at("types", F.lit(1)), F.lit("null")), F.col("want")), **fits})
+    seen = seen.withColumns({"_veto": contradicted(list(fits)), "_boost": F.when(corroborated(list(fits)), F.lit(BOOST)).otherwise(F.lit(0.0)), "_overlap": F.greatest(both(bag, want_bag), both(tokens, want_bag), both(bag, want)), "_weak": weak_overlap()})
+    name, boost, ok, overlap, fuzzy = (F.col(c) for c in ("_name", "_boost", "_ok", "_overlap", "_fuzzy"))
     rules = [
-        (F.col("path").endswith("[]") & ~F.array_contains("want", F.lit("array")), none, "arity"),
+        (F.col("path").endswith("[]") & ~F.array_contains("want", F.lit("array")), None, "arity"),
         ((F.size(tokens) > 0) & (tokens == want), F.lit(EXACT), "exact"),
-        ((F.size(tokens) > 0) & (name == text.token_key(want)), F.lit(NORMALISED), "normalized"),
+        ((F.size(tokens) > 0) & (name == F.col("_want")), F.lit(NORMALISED), "normalized"),
         (F.array_contains("aliases", name), F.lit(ALIAS), "alias"),
-        (contradicted(), none, "contradicted"),
+        (F.col("_veto"), None, "contradicted"),
         (F.array_contains("synonyms", name) & ok, F.least(SYNONYM + boost, F.lit(ALIAS - 0.01)), "synonym"),
         (fuzzy.isNotNull() & ok, F.least(fuzzy + boost, F.lit(SYNONYM - 0.01)), "fuzzy"),
-        ((overlap >= RETAINED) & ok & weak_overlap(), none, "weak"),
+        ((overlap >= RETAINED) & ok & F.col("_weak"), None, "weak"),
         ((overlap >= RETAINED) & ok, F.least(DESCRIPTION + boost, F.lit(ALIAS - 0.01), 0.5 + overlap / 2 + boost), "description"),
     ]
-    score = method = F
+    found = F
     for test, value, label in rules:
-        score, method = score.when(test, value), method.when(test, F.lit(label))
-    return pairs.select(*(by or []), "target", "path", F.round(score, 12).alias("score"), method.alias("method")).where("score IS NOT NULL")
+        score = F.lit(None).cast("double") if value is None else F.round(value, 12)
+        found = found.when(test, F.struct(score.alias("score"), F.lit(label).alias("method")))
+    return seen.select(*(by or []), "target", "path", found.alias("f")).where("f.score IS NOT NULL").select(*(by or []), "target", "path", "f.*")
 
 
 def infer_mapping(profile: DataFrame, target: DataFrame, by: list[str] | None = None) -> DataFrame:

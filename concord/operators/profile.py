@@ -69,7 +69,7 @@ def cells(records: DataFrame, ids: list[str], column: str) -> DataFrame:
     out = now if out is None else out.unionByName(now)
     kind = json_type(F.col("v"))
     path = F.when(F.col("jtype") == "array", F.concat("path", F.lit("[]"))).otherwise(F.col("path")).alias("path")
-    value = F.when(F.col("jtype") != "array", F.coalesce(F.expr("try_variant_get(v, '$', 'string')"), F.to_json("v"))).alias("value")
+    value = F.when(~F.col("jtype").isin("array", "null"), F.coalesce(F.expr("try_variant_get(v, '$', 'string')"), F.to_json("v"))).alias("value")
     return out.where("path <> ''").withColumn("jtype", kind).where("jtype <> 'object'").select(*ids, path, "pos", "jtype", value)
 
 
@@ -114,7 +114,7 @@ def examples(long: DataFrame, record: list[str], by: list[str] | None = None, ke
 def signatures(long: DataFrame, doc: str) -> DataFrame:
     """Each document's shape: normalised paths without bookkeeping fields, their hash, and each path's primary type."""
     ignored = [text.normalise_path(F.lit(p)) for p in BOOKKEEPING]
-    kinds = long.groupBy(doc, "path", "jtype").agg(F.count("*").alias("n"))
+    kinds = long.repartition(doc).groupBy(doc, "path", "jtype").agg(F.count("*").alias("n"))  # one exchange for all four steps
     primary = kinds.groupBy(doc, "path").agg(F.min(F.struct((-F.col("n")).alias("n"), "jtype")).alias("k"))
     named = primary.select(doc, "path", text.normalise_path(F.col("path")).alias("norm"), F.col("k.jtype").alias("jtype")).where(~F.col("norm").isin(*ignored))
     first = named.groupBy(doc, "norm").agg(F.min_by("jtype", "path").alias("jtype"))

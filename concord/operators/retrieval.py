@@ -13,20 +13,30 @@ from concord.functions import text
 
 CHUNK = 800
 FUSION = 60
-QUERY_BLOCK = 4096  # queries that are broadcast at a time
+QUERY_BLOCK = 8192  # queries that are broadcast at a time: 4 MB of 64 dimensions
+ROWS = 256  # candidates that are compared at a time
 
 
 def chunks(blocks: DataFrame, doc: str) -> DataFrame:
-    """``blocks(doc, ord, text, heading)`` to chunks: a fold over each document's blocks in order."""
+    """``blocks(doc, ord, text, heading)`` to chunks: a fold over each document's blocks in order, a step a block."""
     listed = blocks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "heading"))).alias("b"))
-    state = "named_struct('n', 0, 'size', 0, 'out', cast(array() AS array<int>))"
-    fold = (
-        f"aggregate(b, {state}, (a, x) -> CASE WHEN a.size > 0 AND (x.heading OR a.size >= {CHUNK})"
-        " THEN named_struct('n', a.n + 1, 'size', length(x.text), 'out', array_append(a.out, a.n + 1))"
-        " ELSE named_struct('n', a.n, 'size', a.size + length(x.text), 'out', array_append(a.out, a.n)) END, a -> a.out)"
-    )
-    numbered = listed.select(doc, F.posexplode(F.expr(f"arrays_zip(b, {fold})")).alias("i", "x")).select(doc, "i", F.col("x.b.text").alias("t"), F.expr("x.`1`").alias("chunk"))
-    return numbered.groupBy(doc, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x.t), "\n").alias("text"), F.count("*").alias("n_blocks"))
+    schema = f"{doc} {dict(blocks.dtypes)[doc]}, chunk int, text string, n_blocks long"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, items in zip(batch.column(doc), batch.column("b"), strict=True):
+                texts, headings = (items.values.field(k).to_pylist() for k in ("text", "heading"))
+                groups: list[list[str]] = []
+                size = 0
+                for t, heading in zip(texts, headings, strict=True):
+                    if not groups or size > 0 and (heading or size >= CHUNK):
+                        groups.append([])
+                        size = 0
+                    groups[-1].append(t)
+                    size += len(t)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(groups), batch.column(doc).type), pa.array(range(len(groups)), pa.int32()), pa.array(["\n".join(g) for g in groups], pa.string()), pa.array(map(len, groups), pa.int64())], [doc, "chunk", "text", "n_blocks"])
+
+    return listed.mapInArrow(fold, schema)
 
 
 def hashed(docs: DataFrame, key: str, column: str) -> DataFrame:
@@ -38,8 +48,8 @@ def hashed(docs: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def cosine(docs: DataFrame, queries: DataFrame, doc: str, query: str) -> DataFrame:
-    """Cosine of sparse vectors; the queries' vectors are few and broadcast."""
-    q = F.broadcast(queries.withColumnRenamed("value", "qv"))
+    """Cosine of sparse vectors, joined on slots; Spark broadcasts the queries' if they are small."""
+    q = queries.withColumnRenamed("value", "qv")
     return docs.join(q, "slot").groupBy(query, doc).agg(F.round(F.sum(F.col("value") * F.col("qv")), 9).alias("cosine"))
 
 
@@ -51,6 +61,18 @@ def fuse(lexical: DataFrame, vector: DataFrame, keys: list[str], item: str, scor
     return both.select("*", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), item)).alias("rank")).where(F.col("rank") <= top)
 
 
+def _best(held: list[np.ndarray], k: int, least: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of (query, id, score) the k best of each query, of equals the smaller ids; and each query's k-th score."""
+    order = np.lexsort((held[1], -held[2], held[0]))
+    q, i, d = (x[order] for x in held)
+    begin = np.searchsorted(q, np.arange(len(least) + 1))
+    place = np.arange(len(q)) - begin[q]
+    full = np.flatnonzero(np.diff(begin) >= k)
+    least = least.copy()
+    least[full] = d[begin[full] + k - 1]
+    return [x[place < k] for x in (q, i, d)], least
+
+
 def vector_topk(vectors: DataFrame, every: int, k: int = 10) -> DataFrame:
     """The k most similar (dot product) of every ``every``-th vector, exact; queries are broadcast in bounded blocks."""
     spark = vectors.sparkSession
@@ -67,17 +89,23 @@ def vector_topk(vectors: DataFrame, every: int, k: int = 10) -> DataFrame:
         sent = spark.sparkContext.broadcast((names, matrix))
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            """A task's best of each query: what does not reach the k-th so far is never kept."""
             queries, m = sent.value
+            least = np.full(len(queries), -np.inf)
+            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, vec_id, score
             for batch in batches:
-                if not len(batch):
-                    continue
                 own = batch.column("vec_id").to_numpy()
-                x = batch.column("embedding").flatten().to_numpy().reshape(len(own), -1)
-                dots = np.round(m @ x.T, 9)
-                dots[queries[:, None] == own[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(own, dots.shape), -dots), axis=1)[:, : k + 1]
-                q = np.repeat(queries, best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[best].ravel()), pa.array(np.take_along_axis(dots, best, 1).ravel())], ["query_id", "vec_id", "score"])
+                x = batch.column("embedding").flatten().to_numpy().reshape(len(own), m.shape[1])
+                for low in range(0, len(own), ROWS):
+                    mine = own[low : low + ROWS]
+                    dots = np.round(m @ x[low : low + ROWS].T, 9)
+                    dots[queries[:, None] == mine[None, :]] = -np.inf
+                    q, c = np.nonzero((dots >= least[:, None]) & (dots > -np.inf))
+                    held = [np.concatenate(p) for p in zip(held, (q, mine[c], dots[q, c]), strict=True)]
+                    if len(held[0]) > 4 * k * len(queries):
+                        held, least = _best(held, k, least)
+            (q, i, d), _ = _best(held, k, least)
+            yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(i), pa.array(d)], ["query_id", "vec_id", "score"])
 
         part = rows.mapInArrow(local, "query_id long, vec_id long, score double").where("score > double('-infinity')")
         out = part if out is None else out.unionByName(part)
