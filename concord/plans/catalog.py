@@ -519,13 +519,13 @@ def route_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN upper(right(text, 20)) ELSE role || '  ' || turn END AS value FROM conversations),
+WITH v AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN replace(right(text, 20), ' ', '  ') ELSE role || '  ' || turn END AS value FROM conversations),
 n AS (SELECT c.conv_id, c.turn, trim(regexp_replace(lower(v.value), '\\s+', ' ', 'g')) AS v, trim(regexp_replace(lower(p.text), '\\s+', ' ', 'g')) AS t FROM conversations c JOIN v USING (conv_id, turn) LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = 0)
 SELECT conv_id, turn, v = '' OR coalesce(contains(t, v), false) AS grounded FROM n""")
 def grounded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of each turn in the first turn's text: an empty one, its own end in upper case, and one that is made up."""
+    """Values of each turn in the first turn's text: an empty one, its own end with wider blanks, and one that is made up."""
     c = table(spark, sf_dir, "conversations")
-    value = F.when(F.col("conv_id") % 3 == 0, "").when(F.col("conv_id") % 3 == 1, F.upper(F.right("text", F.lit(20)))).otherwise(F.concat("role", F.lit("  "), F.col("turn").cast("string")))
+    value = F.when(F.col("conv_id") % 3 == 0, "").when(F.col("conv_id") % 3 == 1, F.replace(F.right("text", F.lit(20)), F.lit(" "), F.lit("  "))).otherwise(F.concat("role", F.lit("  "), F.col("turn").cast("string")))
     first = c.where("turn = 0").select("conv_id", F.col("text").alias("corpus"))
     return c.select("conv_id", "turn", value.alias("value")).join(first, "conv_id", "left").select("conv_id", "turn", F.coalesce(reconcile.grounded(F.col("value"), F.col("corpus")), F.lit(False)).alias("grounded"))
 
