@@ -6,9 +6,10 @@ benchmark's windows; an item of fewer words is one window.  Words become integer
 benchmark's vocabulary, so that only runs of known words are looked at, and the set's keys are
 the windows themselves: a hit is verified, not assumed.
 
-The set is broadcast if the benchmark's texts are within ``max_broadcast_bytes``; a larger
-benchmark is cut into blocks of that size by a hash of item_id, each block is scanned in its
-own pass, and the hits of a text are united.
+The set is broadcast if what it takes in a worker, some ``SET_BYTES`` a window, is within
+``max_broadcast_bytes``.  Beyond, the corpus is still read once: a bit filter of the windows'
+hashes, at most ``FILTER_BITS`` bits however large the benchmark, is broadcast in place of the
+set; the windows that pass it are joined with the benchmark's by hash and by their words.
 
 Edge cases: a null or empty text has no words and no hits; benchmark rows with a null item_id
 or text are left out; repeated items count once; an empty table gives an empty result, an
@@ -18,7 +19,7 @@ empty benchmark no hits; other columns are kept as they are.
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .hashing import Prefix, U
 
 WINDOW = 13
-MAX_BROADCAST = 32 << 20
+MAX_BROADCAST = 64 << 20
+SET_BYTES = 250  # of a window in a worker's set
+FILTER_BITS = 1 << 29
+SEGMENT = 1 << 19  # bits that one group makes
 #: Of every 20 words, so many must be hit.
 HIT_SHARE = (1, 20)
 
@@ -87,41 +92,101 @@ RESULT = "n_words: long, hit: array<int>, items: array<long>"
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST, name: str = "decon") -> DataFrame:
     """``docs`` with a struct column: n_words, the positions of hit words, and the items found."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).dropna()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * size / max_broadcast_bytes)) if size > max_broadcast_bytes else 1
-
-    def scanned(df: DataFrame, block: int, out: str) -> DataFrame:
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = df.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        held: list[WindowSet] = []
-
-        def make(texts: pa.Array) -> pa.StructArray:
-            if not held:
-                held.append(WindowSet(sent.value, window))
-            counts, hits, found = [], [], []
-            for t in texts:
-                own = words((t.as_py() or "").encode())
-                hit, ids = held[0].scan(own)
-                counts.append(len(own))
-                hits.append(hit)
-                found.append(ids)
-            return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["n_words", "hit", "items"])
-
-        return common.append(df, ["text"], make, RESULT, out)
-
-    if blocks == 1:
-        return scanned(docs, 0, name)
-    texts = docs.select("text").distinct()
-    passes = [scanned(texts, b, "r").select(F.sha2("text", 256).alias("h"), "r.*") for b in range(blocks)]
-    whole = passes[0]
-    for p in passes[1:]:
-        whole = whole.unionByName(p)
-    whole = whole.groupBy("h").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    key = common.free_name(docs, "h")
-    found = whole.select(F.col("h").alias(key), F.struct("n_words", "hit", "items").alias(name))
-    joined = docs.withColumn(key, F.sha2("text", 256)).join(found, key, "left")
-    none = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<long>").alias("items"))
-    return joined.withColumn(name, F.coalesce(F.col(name), none)).drop(key)
+    n = F.size(F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+    windows = items.select(F.when(n > 0, F.greatest(n - window + 1, F.lit(1)).cast("long")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return _by_set(docs, items, window, name) if windows * SET_BYTES <= max_broadcast_bytes else _by_join(docs, items, windows, window, name)
+
+
+def _by_set(docs: DataFrame, items: DataFrame, window: int, name: str) -> DataFrame:
+    """Every text against the whole set, in each worker."""
+    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # its size was looked at
+    held: list[WindowSet] = []
+
+    def make(texts: pa.Array) -> pa.StructArray:
+        if not held:
+            held.append(WindowSet(sent.value, window))
+        counts, hits, found = [], [], []
+        for t in texts:
+            own = words((t.as_py() or "").encode())
+            hit, ids = held[0].scan(own)
+            counts.append(len(own))
+            hits.append(hit)
+            found.append(ids)
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["n_words", "hit", "items"])
+
+    return common.append(docs, ["text"], make, RESULT, name)
+
+
+def _windows(text: str | None, sizes: list[int]) -> tuple[int, bytes, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A text's number of words, its words written with single blanks, where each begins and ends, and the hashes of its windows of each size."""
+    own = words((text or "").encode())
+    flat = b" ".join(own)
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    end = np.cumsum(lengths + 1) - 1
+    begin = end - lengths
+    prefix = Prefix(np.frombuffer(flat, np.uint8))
+    hashes = [prefix.of(begin[: len(own) - n + 1], end[n - 1 :]) if len(own) >= n else np.zeros(0, U) for n in sizes]
+    return len(own), flat, begin, end, hashes
+
+
+def _by_join(docs: DataFrame, items: DataFrame, windows: int, window: int, name: str) -> DataFrame:
+    spark = docs.sparkSession
+    bits = min(FILTER_BITS, 1 << max(19, (16 * windows).bit_length()))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                n = min(window, len(words(text.encode())))
+                if n:
+                    _, flat, begin, end, (hashes,) = _windows(text, [n])
+                    rows += [(h, n, flat[b:e], item) for h, b, e in zip(hashes.view(np.int64).tolist(), begin.tolist(), end[n - 1 :].tolist(), strict=False)]
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["h", "n", "key", "item"])
+
+    def filtered(table: pa.Table) -> pa.Table:
+        at = table.column("h").to_numpy().view(U) % U(bits)
+        part = np.zeros(SEGMENT, bool)
+        part[(at % U(SEGMENT)).astype(np.int64)] = True
+        return pa.table({"k": pa.array([int(at[0]) // SEGMENT], pa.int32()), "blob": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    known = common.cut(items.mapInArrow(common.lean(listed), "h long, n int, key binary, item long").distinct(), "windows")
+    sizes = sorted(r[0] for r in known.select("n").distinct().collect())  # window or less: at most so many
+    part = F.floor(F.pmod("h", F.lit(bits)) / SEGMENT).cast("int")  # bits is a power of two: the sign does not matter
+    segments = known.select("h").distinct().groupBy(part.alias("part")).applyInArrow(filtered, "k int, blob binary").collect()
+    table = np.zeros(bits // 8, np.uint8)
+    for k, blob in segments:
+        table[k * SEGMENT // 8 : (k + 1) * SEGMENT // 8] = np.frombuffer(blob, np.uint8)
+    sent = spark.sparkContext.broadcast(table)  # at most FILTER_BITS bits
+
+    row = common.free_name(docs, "_row")
+    numbered = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = sent.value
+        for batch in batches:
+            rows = []
+            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, flat, begin, end, hashes = _windows(text, sizes)
+                for n, h in zip(sizes, hashes, strict=True):
+                    at = (h % U(bits)).astype(np.int64)
+                    for p in np.flatnonzero(have[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                        rows.append((r, p, n, int(h[p].view(np.int64)), flat[begin[p] : end[p + n - 1]]))
+            columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["r", "p", "n", "h", "key"])
+
+    open_ = numbered.select(row, F.col("text").cast("string").alias("text")).mapInArrow(common.lean(passing), "r long, p int, n int, h long, key binary")
+    met = open_.join(known, ["h", "n", "key"]).groupBy("r", "p", "n").agg(F.collect_set("item").alias("items"))
+    found = met.groupBy("r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(p, p + n - 1)"))))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def counted(texts: pa.Array) -> pa.StructArray:
+        return pa.StructArray.from_arrays([pa.array([len(words((t.as_py() or "").encode())) for t in texts], pa.int64())], ["n"])
+
+    size, key = common.free_name(numbered, "_n"), common.free_name(numbered, "_r")
+    whole = common.append(numbered, ["text"], counted, "n: long", size)
+    joined = whole.join(found.select(F.col("r").alias(key), F.col("hit").alias(f"{key}_hit"), F.col("items").alias(f"{key}_items")), F.col(row) == F.col(key), "left")
+    result = F.struct(F.col(f"{size}.n").alias("n_words"), F.coalesce(f"{key}_hit", F.array().cast("array<int>")).alias("hit"), F.coalesce(f"{key}_items", F.array().cast("array<long>")).alias("items"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(name))
 
 
 def contaminated(result: str) -> F.Column:
