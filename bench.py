@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from concord.plans import catalog
 
-NAMES = ["align_orders", "json_profile", "cast_number", "validate_issues", "shape_cluster", "hash_embed_cosine", "hybrid_rrf", "vector_topk", "chunk_docs", "dedupe_sha256", "resolve_units", "nearest_caption", "anti_overlap", "converge_rounds", "library_latest"]
+NAMES = ["align_orders", "json_profile", "cast_number", "validate_issues", "shape_cluster", "hash_embed_cosine", "hybrid_rrf", "vector_topk", "chunk_docs", "dedupe_sha256", "resolve_units", "nearest_caption", "anti_overlap", "converge_rounds", "library_latest", "wide_mapping", "batch_pathways", "table_cells", "value_extraction", "inspect_images", "vocabulary_merge", "align_stream"]
 
 
 def main() -> None:

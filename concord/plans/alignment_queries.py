@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import text
 from concord.functions.convert import Target
-from concord.operators import alignment, batch, profile, vocabulary
+from concord.operators import alignment, batch, generate, profile, vocabulary
 from concord.plans.catalog import ORDER_FIELDS, order_records
 from concord.plans.registry import query, table
 from concord.plans.storage import cut
@@ -327,3 +327,12 @@ def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.when(k == 1, F.array(e)).otherwise(F.array().cast("array<string>"))
     note = F.when(k == 0, F.concat(F.lit(" "), e)).when(k == 3, "a b c d").when(k == 4, F.concat(F.lit("seen before: "), e))
     return table(spark, sf_dir, "events").select("event_id", vocabulary.rejection_error(category, fields, note, ["view", "click"]).alias("error"), vocabulary.rejection_text(category, fields, note).alias("text"))
+
+
+@query("SELECT 'field_' || i AS target, 'FIELD-' || i AS path, 'exact' AS method, 'mapped' AS status FROM range(400) t(i)")
+def wide_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema of 400 fields against records of 400 keys that all share a word."""
+    docs = spark.createDataFrame([(k, json.dumps({f"FIELD-{i}": f"v{k}" for i in range(400)})) for k in range(3)], "rec int, record string")
+    long = cut(profile.cells(docs, ["rec"], "record"), "cells")
+    found = profile.profile(long, ["rec"], None, profile.totals(docs, "record"))
+    return alignment.infer_mapping(found, alignment.target_table(spark, generate.wide_schema(400))).select("target", "path", "method", "status")
