@@ -165,8 +165,19 @@ def candidates(profile: DataFrame, target: DataFrame, by: list[str] | None = Non
     near = F.sequence(F.length(_together(F.col("t_tokens"))) - 2, F.length(_together(F.col("t_tokens"))) + 2)
     theirs = F.concat(tag("set ", names), tag("word ", F.array_union("t_tokens", "t_desc")), tag("length ", near.cast("array<string>")))
     keys = target.select("target", F.explode(theirs).alias("key"))
-    pairs = profile.select(*by, "path", F.explode(F.array_distinct(own)).alias("key")).join(keys, "key").select(*by, "path", "target").distinct()
-    return pairs.join(profile, [*by, "path"]).join(target, "target")
+    met = profile.select(*by, "path", F.explode(F.array_distinct(own)).alias("key")).join(keys, "key")
+    kind = F.col("key")
+    pairs = met.groupBy(*by, "path", "target").agg(F.max(kind.startswith("set ")).alias("_set"), F.count_if(kind.startswith("word ")).alias("_n"), F.max(kind.startswith("length ")).alias("_near"))
+    size = lambda c: F.size(F.array_distinct(c)).alias
+    bag, want_bag = F.array_union("tokens", "desc_tokens"), F.array_union("t_tokens", "t_desc")
+    left = profile.select("*", _together(F.col("tokens")).alias("_a"), size("tokens")("_own"), size(bag)("_bag"))
+    right = target.select("*", _together(F.col("t_tokens")).alias("_b"), size("t_tokens")("_want"), size(want_bag)("_wbag"))
+    both = pairs.join(left, [*by, "path"]).join(right, "target")
+    # the words in common bound every overlap, the spelling every near miss: what is below either can't score
+    bound = F.greatest(*[F.col("_n") / F.greatest(F.col(a) + F.col(b) - F.col("_n"), F.lit(1)) for a, b in (("_bag", "_wbag"), ("_own", "_wbag"), ("_bag", "_want"))])
+    budget = F.greatest(F.lit(1), F.floor(F.length("_b") / 4).cast("int"))
+    spelt = F.col("_near") & (F.levenshtein("_a", "_b") <= budget)
+    return both.where(F.col("_set") | (bound >= RETAINED) | spelt).drop("_set", "_n", "_near", "_a", "_b", "_own", "_bag", "_want", "_wbag")
 
 
 def scored(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
