@@ -45,3 +45,16 @@ def distinct_stems(files: DataFrame, stem: str, order: list[str]) -> DataFrame:
     """Equal stems get _2, _3 and so on."""
     r = F.row_number().over(Window.partitionBy(stem).orderBy(*order))
     return files.withColumn("stored", F.when(r == 1, F.col(stem)).otherwise(F.concat(stem, F.lit("_"), r.cast("string"))))
+
+
+def combined(store: DataFrame, bundled: DataFrame, key: str) -> DataFrame:
+    """Both, but of an id that both have the store's."""
+    return store.unionByName(bundled.join(store.select(key), key, "left_anti"))
+
+
+def gathered(uploads: DataFrame, project: str, name: str, order: str) -> DataFrame:
+    """Text notes of each project, or its Word, PowerPoint and PDF files where it has no notes; of one name the first."""
+    note = F.lower(name).rlike(r"[.](txt|md)$")
+    seen = uploads.withColumn("_n", note).withColumn("_has", F.bool_or("_n").over(Window.partitionBy(project)))
+    kept = seen.where(F.col("_n") | (~F.col("_has") & F.lower(name).rlike(r"[.](docx|pptx|pdf)$")))
+    return kept.groupBy(project, name).agg(F.min(order).alias(order))

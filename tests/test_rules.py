@@ -176,3 +176,34 @@ def test_clusters_without_shared_folder_are_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session())
+
+
+def test_chunks_against_a_fold(spark):
+    from concord.operators import retrieval
+
+    docs = [(1, "\n".join(["# A", "x" * 500, "y" * 400, "z", "# B", "## C", "w" * 900, "end"])), (2, "one\n\ntwo"), (3, "")]
+    got = {}
+    for r in retrieval.chunks(files.blocks(spark.createDataFrame(docs, "doc long, text string"), "doc", "text"), "doc").orderBy("doc", "chunk").collect():
+        got.setdefault(r.doc, []).append((r.text, r.n_blocks))
+    want = {}
+    for d, t in docs:
+        out, size = [], 0
+        for line in filter(str.strip, t.split("\n")):
+            if out and size and (line.startswith("#") or size >= 800):
+                out.append([])
+                size = 0
+            if not out:
+                out.append([])
+            out[-1].append(line)
+            size += len(line)
+        if out:
+            want[d] = [("\n".join(x), len(x)) for x in out]
+    assert got == want
+
+
+def test_edits_keep_what_was_not_meant():
+    from concord.operators import edits
+
+    text = "First stays. The value is 3 in all. Last stays!"
+    assert edits.spliced_text(text, "The value is 4 in all.") == "First stays. The value is 4 in all. Last stays!"
+    assert edits.spliced_text("one sentence", "another") == "another" and edits.tagged_text("a b c d", "a x c") == "a x c"
