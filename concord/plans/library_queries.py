@@ -129,3 +129,17 @@ def align_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [Target("orderId", ["integer"], True), Target("orderStatus", enum=["F", "O", "P"]), Target("totalPrice", ["number"])]
     streaming.align_stream(spark, source, out, f"{out}-state", fields, per_batch=1).awaitTermination()
     return cut(spark.read.parquet(f"{out}/*").select("rec_id", "orderId", "orderStatus", "totalPrice"), "streamed")
+
+
+@query("""
+SELECT d.doc_id, d.doc_id * 100 + s AS ord, CASE WHEN d.doc_id % 10 = 0 THEN 'needs_ocr' ELSE 'paragraph' END AS type, CASE WHEN d.doc_id % 10 = 0 THEN '' WHEN s = 0 THEN 'Source (' || d.source || ') \\ of it' ELSE d.lang || ' & line ' || s END AS text
+FROM documents d, (SELECT unnest(range(60)) AS s) t WHERE d.doc_id % 10 > 0 OR s = 0""")
+def pdf_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files of two pages made by the sink and read by the parser; one with hardly any text has to be read by OCR."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    rows = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("ord"), "source", "lang").where("doc_id % 10 > 0 OR ord = 0")
+    said = F.when(F.col("doc_id") % 10 == 0, "x").when(F.col("ord") == 0, F.concat(F.lit("Source ("), "source", F.lit(") \\ of it"))).otherwise(F.concat("lang", F.lit(" & line "), "ord"))
+    made = sinks.office_files(rows.select("doc_id", "ord", F.when(F.col("ord") == 0, "heading").otherwise("paragraph").alias("type"), said.alias("text"), F.lit("pdf").alias("kind")), "doc_id")
+    back = files.office_blocks(made.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "content"))
+    doc = F.split("path", "[.]")[0].cast("long")
+    return back.select(doc.alias("doc_id"), (doc * 100 + F.col("ord")).alias("ord"), "type", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -79,15 +80,62 @@ def _pptx(data: bytes) -> Iterator[tuple[str, str]]:
                     yield ("heading" if k == 0 else "paragraph"), text
 
 
+STREAM = re.compile(rb"<<((?:[^>]|>(?!>))*)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*+\)|<[0-9A-Fa-f\s]*>|\bT[jJ*dDm](?![A-Za-z*])|\bET\b|'|\"", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+SCANNED = 20  # characters; a PDF with fewer has to be read by OCR
+
+
+def _unescaped(raw: bytes) -> bytes:
+    def one(m: re.Match) -> bytes:
+        x = m[1]
+        return bytes([int(x, 8) & 255]) if x[:1].isdigit() else ESCAPES.get(x, x)
+
+    return re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S)
+
+
+def _pdf(data: bytes) -> Iterator[tuple[str, str]]:
+    """Lines of the text that a PDF's content streams show, in order; simple fonts only."""
+    if not data.startswith(b"%PDF"):
+        raise ValueError("not a PDF")
+    found: list[str] = []
+    for head, body in STREAM.findall(data):
+        if b"/Subtype" in head or b"/Type/XRef" in head:
+            continue
+        content = zlib.decompressobj().decompress(body) if b"FlateDecode" in head else body
+        if b"BT" not in content:
+            continue
+        line = b""
+        for m in SHOWN.finditer(content):
+            token = m[0]
+            if token[:1] == b"(":
+                line += _unescaped(token[1:-1])
+            elif token[:1] == b"<":
+                line += bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode() or "")
+            elif token not in (b"Tj", b"TJ"):  # the next line begins
+                found.append(line.decode("cp1252", "replace").strip())
+                line = b""
+        found.append(line.decode("cp1252", "replace").strip())
+    found = [x for x in found if x]
+    if sum(map(len, found)) < SCANNED:
+        yield "needs_ocr", ""
+        return
+    for x in found:
+        yield "paragraph", x
+
+
+READERS = {"pptx": _pptx, "pdf": _pdf}
+
+
 def office_blocks(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` of Word and PowerPoint documents to (path, ord, type, text); a broken file gives one row of type failed."""
+    """``files(path, content)`` of Word, PowerPoint and PDF documents to (path, ord, type, text); a broken file gives one row of type failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    rows = list((_pptx if path.lower().endswith(".pptx") else _docx)(data))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                    rows = list(READERS.get(path.lower().rpartition(".")[2], _docx)(data))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, zlib.error) as e:
                     rows = [("failed", str(e))]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["path", "ord", "type", "text"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
@@ -96,13 +97,42 @@ def pptx(blocks: list[tuple[str, str]]) -> bytes:
     return _zipped(parts)
 
 
+LINES = 50  # of a PDF page
+
+
+def pdf(blocks: list[tuple[str, str]]) -> bytes:
+    """A PDF of (type, text) blocks, a line each; headings are larger.  Characters beyond Latin-1 become "?"."""
+    pages = [blocks[k : k + LINES] for k in range(0, len(blocks), LINES)] or [[]]
+    objects: list[bytes] = [b"<</Type/Catalog/Pages 2 0 R>>", b"", b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"]
+    kids = []
+    for page in pages:
+        rows = [b"BT", b"14 TL", b"72 760 Td"]
+        for kind, text in page:
+            raw = text.replace("\n", " ").encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+            rows.append(b"/F1 %d Tf (%s) Tj T*" % (14 if kind == "heading" else 10, raw))
+        stream = zlib.compress(b"\n".join([*rows, b"ET"]), 6)
+        kids.append(len(objects) + 1)
+        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Resources<</Font<</F1 3 0 R>>>>/Contents %d 0 R>>" % (len(objects) + 2))
+        objects.append(b"<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream" % (len(stream), stream))
+    objects[1] = b"<</Type/Pages/Kids[%s]/Count %d>>" % (b" ".join(b"%d 0 R" % k for k in kids), len(kids))
+    out, places = b"%PDF-1.4\n", []
+    for k, body in enumerate(objects):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (k + 1, body)
+    table = b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return out + table + b"trailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
+
+
+WRITERS = {"docx": docx, "pptx": pptx, "pdf": pdf}
+
+
 def office_files(blocks: DataFrame, doc: str) -> DataFrame:
-    """``blocks(doc, kind, ord, type, text)`` to (doc, kind, content): a file a document, docx or pptx."""
+    """``blocks(doc, kind, ord, type, text)`` to (doc, kind, content): a file a document, docx, pptx or pdf."""
     grouped = blocks.groupBy(doc, "kind").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "text"))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(pptx if k == "pptx" else docx)([(x["type"], x["text"] or "") for x in b]) for k, b in zip(batch.column("kind").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            made = [WRITERS[k]([(x["type"], x["text"] or "") for x in b]) for k, b in zip(batch.column("kind").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(doc), batch.column("kind"), pa.array(made, pa.binary())], [doc, "kind", "content"])
 
     return grouped.mapInArrow(run, f"{doc} {dict(blocks.dtypes)[doc]}, kind string, content binary")
