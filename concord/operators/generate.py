@@ -1,7 +1,9 @@
-"""Variations of clean records: restyled keys, other notations, wide schemas."""
+"""Variations of clean records: restyled and opaque keys, nesting, other notations, wide schemas."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,27 @@ def misspelt(word: Column, seed: Column) -> Column:
 def wide_schema(width: int) -> list[Target]:
     """So many text fields, the first two required."""
     return [Target(f"field_{k}", required=k < 2, description=f"value number {k}") for k in range(width)]
+
+
+LEVELS = ["case", "affix", "nest", "array_wrap", "opaque", "described"]
+
+
+def variation(records: list[dict], level: str) -> tuple[list[dict], dict[str, str]]:
+    """Golden records as a team with its own habits would write them, and the path of each target."""
+    names = list(dict.fromkeys(k for r in records for k in r))
+
+    def key(name: str, k: int) -> str:
+        if level == "case":
+            return re.sub("(?<=[a-z0-9])(?=[A-Z])", "_", name).upper()
+        if level == "affix":
+            return f"src_{name}_v2"
+        return f"f{k + 1:02}" if level in ("opaque", "described") else name
+
+    keys = {n: key(n, k) for k, n in enumerate(names)}
+    made, paths = [], {}
+    for r in records:
+        row = {keys[n]: [v] if level == "array_wrap" and not isinstance(v, list) else v for n, v in r.items()}
+        made.append({"payload": row} if level == "nest" else row)
+        for n, v in r.items():
+            paths[n] = ("payload." if level == "nest" else "") + keys[n] + ("[]" if isinstance(v, list) or level == "array_wrap" else "")
+    return made, paths

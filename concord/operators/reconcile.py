@@ -206,3 +206,18 @@ def interpreted(feedback: DataFrame, targets: list[str], text: str) -> DataFrame
         leaf = t.split(".")[-1]
         named = F.when(F.contains(low, F.lit(leaf.replace("_", " "))) | F.contains(low, F.lit(leaf)), t).otherwise(named)
     return feedback.withColumn("new_value", value).withColumn("target", named).withColumn("operation", F.lit("replace_field")).where("new_value <> '' AND target IS NOT NULL")
+
+
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """(kind, status): the units of all parts of a report."""
+    out = None
+    for kind, units in parts.items():
+        part = units.select(F.lit(kind).alias("kind"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def summary(units: DataFrame) -> DataFrame:
+    """Units by status, and all of them; every status counts once more in the total by grouping sets."""
+    counts = units.rollup("status").agg(F.count("*").alias("n"), F.grouping("status").alias("g"))
+    return counts.select(F.when(F.col("g") == 1, "total_units").otherwise(F.col("status")).alias("status"), "n")

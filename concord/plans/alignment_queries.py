@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import text
 from concord.functions.convert import Target
-from concord.operators import alignment, batch, generate, profile, vocabulary
+from concord.operators import alignment, batch, generate, profile, scoring, vocabulary
 from concord.plans.catalog import ORDER_FIELDS, order_records
 from concord.plans.registry import query, table
 from concord.plans.storage import cut
@@ -336,3 +336,19 @@ def wide_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = cut(profile.cells(docs, ["rec"], "record"), "cells")
     found = profile.profile(long, ["rec"], None, profile.totals(docs, "record"))
     return alignment.infer_mapping(found, alignment.target_table(spark, generate.wide_schema(400))).select("target", "path", "method", "status")
+
+
+@query("SELECT * FROM (VALUES ('case', 8, 0, 0), ('affix', 2, 0, 6), ('nest', 8, 0, 0), ('array_wrap', 1, 0, 7), ('opaque', 0, 0, 8), ('described', 8, 0, 0)) AS v(level, tp, fp, fn)")
+def variation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated variations of golden records, matched and scored: what is lost is left open, nothing is matched falsely."""
+    out = None
+    for level in generate.LEVELS:
+        records, paths = generate.variation(SHAPES["golden"], level)
+        docs = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "rec int, record string")
+        told = {p: next(t.description for t in GAME if t.name == n) for n, p in paths.items()} if level == "described" else None
+        long = cut(profile.cells(docs, ["rec"], "record"), "cells")
+        part = profile.profile(long, ["rec"], None, profile.totals(docs, "record"), told).withColumn("level", F.lit(level))
+        gold = spark.createDataFrame([(level, p, n) for n, p in paths.items()], "level string, path string, target string")
+        out = (part, gold) if out is None else (out[0].unionByName(part), out[1].unionByName(gold))
+    found = alignment.infer_mapping(out[0], alignment.target_table(spark, GAME), ["level"]).where("status = 'mapped'").select("level", "path", "target")
+    return scoring.precision_recall(found, out[1], ["path", "target"], ["level"]).select("level", F.col("tp").cast("int").alias("tp"), F.col("fp").cast("int").alias("fp"), F.col("fn").cast("int").alias("fn"))

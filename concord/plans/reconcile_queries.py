@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import text
 from concord.operators import extract, reconcile, reports
-from concord.plans.registry import query, table
+from concord.plans.registry import ORACLE, QUERIES, query, table
 
 
 @query("""
@@ -227,3 +227,12 @@ def index_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of documents that are gone leave the index."""
     index = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("doc_id"))
     return reports.pruned(index, table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), "doc_id").select("vec_id")
+
+
+_PARTS = ["resolve_units", "reconcile_tables", "reconcile_graphics", "page_furniture"]
+
+
+@query("WITH u AS (" + " UNION ALL ".join(f"SELECT status FROM ({ORACLE[p]})" for p in _PARTS) + ") SELECT status, count(*) AS n FROM u GROUP BY 1 UNION ALL SELECT 'total_units', count(*) FROM u")
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole report: fields, tables, figures and page elements as units, tallied."""
+    return reconcile.summary(reconcile.report({p: QUERIES[p](spark, sf_dir) for p in _PARTS}))
