@@ -207,3 +207,17 @@ def test_edits_keep_what_was_not_meant():
     text = "First stays. The value is 3 in all. Last stays!"
     assert edits.spliced_text(text, "The value is 4 in all.") == "First stays. The value is 4 in all. Last stays!"
     assert edits.spliced_text("one sentence", "another") == "another" and edits.tagged_text("a b c d", "a x c") == "a x c"
+
+
+def test_operations_by_name(spark):
+    from concord import api
+
+    schema = {"title": "game", "required": ["name"], "properties": {"name": {"type": "string", "description": "The title of the game"}, "criticScore": {"type": "integer", "minimum": 0, "maximum": 100}, "genres": {"type": "array", "items": {"type": "string"}}}}
+    data = [{"title": "A", "critic_score": "90", "genres": "x;y"}, {"title": "B", "critic_score": "n/a", "genres": ["z"]}]
+    got = {r.rec: r for r in api.run_alignment(spark, data, schema).collect()}
+    assert (got[0]["name"], got[0].criticScore, got[0].genres) == ("A", 90, ["x", "y"]) and got[0].conformant and got[1].criticScore is None
+    assert api.relevance_of(spark, data, schema).first().verdict == "convertible" and api.relevance_of(spark, [{"wind": 1}], schema).first().verdict == "reject"
+    assert api.signature_of(spark, [{"gameTitle": 1}]).first().shape == api.signature_of(spark, [{"game_title": "x"}]).first().shape
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "packet loss on the router")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "router packet loss")], "query_id long, text string")
+    assert [(r.doc_id, r["rank"]) for r in api.search(docs, asked).orderBy("rank").collect()][0] == (2, 1)
