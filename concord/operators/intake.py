@@ -145,3 +145,27 @@ def page_defects(pages: DataFrame, page: str, defects: list[str], seed: int, lea
     order = F.row_number().over(Window.partitionBy(page).orderBy(F.xxhash64(page, "defect", F.lit(seed)), "defect"))
     want = F.pmod(F.xxhash64(F.col(page), F.lit(seed)), F.lit(most - least + 1)) + least
     return rows.withColumn("_r", order).where(F.col("_r") <= want).drop("_r")
+
+
+def first_attempt(blocks: DataFrame, doc: str, sections: list[tuple[str, str]], fields: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``blocks(doc, ord, kind, text)`` folded onto a template: field values (of several the last), figure references and bodies by section.
+
+    A heading that is like a section's begins it; one that is like none is passed over, and what
+    stands before the first is left out.
+    """
+    heads = match_sections(blocks.where("kind = 'heading'").select(doc, "ord", "text"), "text", sections).select(doc, "ord", F.col("section").alias("_s"))
+    now = F.last("_s", ignorenulls=True).over(Window.partitionBy(doc).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    placed = blocks.join(heads, [doc, "ord"], "left").withColumn("section", now).where("section IS NOT NULL AND kind = 'paragraph'").drop("_s")
+    marker = r"(?i)^\s*\[FIGURE:\s*(.+?)\]\s*$"
+    figures = placed.where(F.col("text").rlike(marker)).select(doc, "section", "ord", F.trim(F.regexp_extract("text", marker, 1)).alias("ref_name"))
+    told = absorbed(placed.where(~F.col("text").rlike(marker)), "text", fields)
+    values = told.where("value IS NOT NULL").groupBy(doc, "section", "key").agg(F.max_by("value", "ord").alias("value"))
+    lines = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    bodies = told.where("key IS NULL").groupBy(doc, "section").agg(F.trim(F.array_join(F.transform(lines, lambda x: x.text), " ")).alias("body"))
+    return values, figures, bodies
+
+
+def header_block(blocks: DataFrame, doc: str) -> DataFrame:
+    """The blocks before a document's second heading."""
+    seen = F.count_if(F.col("kind") == "heading").over(Window.partitionBy(doc).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.withColumn("_n", seen).where("_n < 2").drop("_n")

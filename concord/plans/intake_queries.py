@@ -122,3 +122,32 @@ def page_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = (intake.page_defects(table(spark, sf_dir, "pages"), "page_id", defects, 7) for _ in range(2))
     both = one.join(two, ["page_id", "defect"])
     return both.groupBy("page_id").agg(F.count("*").between(1, 3).alias("bounded"), (F.count_distinct("defect") == F.count("*")).alias("distinct_"))
+
+
+_DRAFT = "b AS (SELECT conv_id, turn, role, turn % 4 AS k, ['description', 'timeline', 'root_cause', 'actions'][(turn // 4) % 4 + 1] AS section FROM conversations)"
+
+
+def _draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    k, which = t % 4, F.floor(t / 4) % 4
+    title = F.when(which == 0, "1. Description of Event").when(which == 1, "2. TIMELINE").when(which == 2, "Root causes").otherwise("4) Corrective Actions")
+    said = F.when(k == 0, title).when(k == 1, F.concat(F.lit("Lead Author: A"), t)).when(k == 2, F.concat(F.lit(" [Figure:  f"), t, F.lit(".png ]"))).otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", t.alias("ord"), F.when(k == 0, "heading").otherwise("paragraph").alias("kind"), said.alias("text"))
+
+
+@query(f"""
+WITH {_DRAFT} SELECT conv_id, section, max_by('A' || turn, turn) FILTER (k = 1) AS author, count(*) FILTER (k = 2) AS n_figures, max_by('f' || turn || '.png', turn) FILTER (k = 2) AS last_figure, string_agg(role, ' ' ORDER BY turn) FILTER (k = 3) AS body FROM b GROUP BY 1, 2 HAVING count(*) FILTER (k > 0) > 0""")
+def first_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A converted draft folded onto the template's sections."""
+    fields = spark.sql("SELECT s AS section, 'lead_author' AS key, CAST(NULL AS STRING) AS label, 0 AS ord FROM VALUES ('description'), ('timeline'), ('root_cause'), ('actions') AS v(s)")
+    values, figures, bodies = intake.first_attempt(_draft(spark, sf_dir), "conv_id", SECTIONS, fields)
+    by = ["conv_id", "section"]
+    counted = figures.groupBy(*by).agg(F.count("*").alias("n_figures"), F.max_by("ref_name", "ord").alias("last_figure"))
+    whole = values.select(*by, F.col("value").alias("author")).join(counted, by, "full").join(bodies, by, "full")
+    return whole.select(*by, "author", F.coalesce("n_figures", F.lit(0).cast("long")).alias("n_figures"), "last_figure", "body")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE turn < 4")
+def header_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before the second heading."""
+    return intake.header_block(_draft(spark, sf_dir), "conv_id").select("conv_id", F.col("ord").alias("turn"))
