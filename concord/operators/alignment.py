@@ -386,3 +386,10 @@ def align(docs: DataFrame, ids: list[str], column: str, fields: list[Target], by
     golden = execute(docs, long, ids, mapping, fields, by)
     found = issues(fields, [f.name for f in fields], "provenance")
     return golden.withColumn("issues", found).withColumn("conformant", conformant(fields))
+
+
+def verified_proposals(open_: DataFrame, proposals: DataFrame, order: str) -> DataFrame:
+    """Each open target's last proposal, if it holds: ``open_(target, want, candidates)``, where candidates are structs (path, primary); the path must be one of them, of a type that the target takes."""
+    last = proposals.groupBy("target").agg(F.max_by("path", order).alias("path"))
+    both = last.join(open_, "target").withColumn("c", F.try_element_at(F.filter("candidates", lambda c: c.path == F.col("path")), F.lit(1)))
+    return both.where(F.col("c").isNotNull() & compatible(F.col("c.primary"), F.col("want"))).select("target", "path", F.lit("semantic").alias("method"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,11 @@ def caption_adjacency(blocks: DataFrame, doc: str, order: list[str]) -> DataFram
     w = Window.partitionBy(doc).orderBy(*order)
     seen = blocks.select("*", F.lag("caption").over(w).alias("_b"), F.lead("caption").over(w).alias("_a"))
     return seen.where("image").withColumn("caption_position", F.when(F.col("_a"), "below").when(F.col("_b"), "above").otherwise("none")).drop("_a", "_b")
+
+
+def role(text: Column) -> Column:
+    """What a line on a page is by its text: caption, table title, page number, or text."""
+    return (
+        F.when(text.rlike(r"(?i)^\s*(?:figure|fig\.?)\s*\d+"), "caption").when(text.rlike(r"(?i)^\s*table\s*\d+"), "table_title")
+        .when(text.rlike(r"(?i)^\s*(?:page\s*)?\d{1,3}\s*$"), "page_number").otherwise("text")
+    )

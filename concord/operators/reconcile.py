@@ -221,3 +221,8 @@ def summary(units: DataFrame) -> DataFrame:
     """Units by status, and all of them; every status counts once more in the total by grouping sets."""
     counts = units.rollup("status").agg(F.count("*").alias("n"), F.grouping("status").alias("g"))
     return counts.select(F.when(F.col("g") == 1, "total_units").otherwise(F.col("status")).alias("status"), "n")
+
+
+def engine_operation(operation: Column) -> Column:
+    """A proposed operation in the engine's words."""
+    return F.when(operation.isin("relabel_graphic", "relocate_graphic"), "relabel_graphic").when(operation == "flag_needs_review", "flag").otherwise("replace")

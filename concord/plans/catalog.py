@@ -555,4 +555,4 @@ def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", reports.overall_status(stages).alias("status"))
 
 
-from concord.plans import alignment_queries, edit_queries, intake_queries, layout_queries, library_queries, reconcile_queries  # noqa: E402, F401  they list more queries
+from concord.plans import alignment_queries, edit_queries, intake_queries, layout_queries, library_queries, reconcile_queries, state_queries  # noqa: E402, F401  they list more queries
