@@ -262,23 +262,24 @@ def execute(records: DataFrame, long: DataFrame, ids: list[str], mapping: DataFr
     told = told.groupBy(*by).agg(F.map_from_entries(F.collect_list("m")).alias("_m"))
     wide = records.select(*by, *ids).join(values, [*by, *ids], "left")
     wide = wide.join(told, by) if by else wide.crossJoin(F.broadcast(told))  # one row
-    golden, provenance = [], []
-    for f in fields:
-        one, m = F.col(f"one_{f.name}"), F.try_element_at("_m", F.lit(f.name))
+    values, raws = [], []
+    for k, f in enumerate(fields):
+        one = F.col(f"one_{f.name}")
         value, raw = convert(f, one["value"], one["jtype"]), F.when(one["jtype"] != "null", one["value"])
         if f.type == "array":
             items = F.transform(f"all_{f.name}", lambda x: x.value)
             some = F.size(F.coalesce(items, F.array().cast("array<string>"))) > 0
             value, raw = F.when(some, items).otherwise(value), F.when(some, F.to_json(items)).otherwise(raw)
+        values.append(value.alias(f.name))
+        raws.append(raw.alias(f"_raw{k}"))
+    wide = wide.select(*by, *ids, "_m", *values, *raws)  # converted once; what follows only looks at the columns
+    provenance = []
+    for k, f in enumerate(fields):
+        value, raw, m = F.col(f"`{f.name}`"), F.col(f"_raw{k}"), F.try_element_at("_m", F.lit(f.name))
         note = F.when(m["status"] != "mapped", F.when(m["note"] == "", "unmapped").otherwise(m["note"])).when(raw.isNull(), "source value absent in this record").when(value.isNull(), f"could not produce a {f.type}").otherwise("")
         status = F.when(m["status"] == "conflict", "conflict").when((m["status"] != "mapped") | value.isNull(), "needs_review").otherwise("filled")
-        golden.append(value.alias(f.name))
         provenance.append(F.struct(F.lit(f.name).alias("target"), F.coalesce(status, F.lit("needs_review")).alias("status"), m["path"].alias("path"), m["method"].alias("method"), m["confidence"].alias("confidence"), raw.alias("raw"), F.coalesce(note, F.lit("unmapped")).alias("note")))
-    return wide.select(*by, *ids, *golden, F.array(*provenance).cast(f"array<{PROVENANCE}>").alias("provenance"))
-
-
-def _told(provenance: str, target: str) -> Column:
-    return F.try_element_at(F.filter(provenance, lambda p: p.target == target), F.lit(1))
+    return wide.select(*by, *ids, *[f"`{f.name}`" for f in fields], F.array(*provenance).cast(f"array<{PROVENANCE}>").alias("provenance"))
 
 
 def issues(fields: list[Target], produced: list[str], provenance: str | None = None) -> Column:
@@ -288,9 +289,9 @@ def issues(fields: list[Target], produced: list[str], provenance: str | None = N
     conformant), and a value whose source isn't told is ungrounded.
     """
     out = []
-    for f in fields:
+    for k, f in enumerate(fields):
         v = F.col(f"`{f.name}`")
-        own = _told(provenance, f.name) if provenance else None
+        own = F.col(provenance)[k] if provenance else None  # it stands in the order of the fields
 
         def issue(test: Column, kind: str, name: str = f.name) -> Column:
             return F.when(test, F.struct(F.lit(name).alias("target"), F.lit(kind).alias("kind")))
@@ -385,7 +386,8 @@ def align(docs: DataFrame, ids: list[str], column: str, fields: list[Target], by
         mapping = cut(infer_mapping(p.profile(long, ids, by, total), target_table(docs.sparkSession, fields), by), "mapping")
     golden = execute(docs, long, ids, mapping, fields, by)
     found = issues(fields, [f.name for f in fields], "provenance")
-    return golden.withColumn("issues", found).withColumn("conformant", conformant(fields))
+    # written, so that a filter on what conforms looks at a column and is not pushed into every conversion
+    return cut(golden, "golden").withColumn("issues", found).withColumn("conformant", conformant(fields))
 
 
 def verified_proposals(open_: DataFrame, proposals: DataFrame, order: str) -> DataFrame:

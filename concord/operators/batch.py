@@ -85,7 +85,8 @@ def align_shapes(docs: DataFrame, doc: str, column: str, fields: list[Target]) -
     long = cut(long.join(signed, doc), "placed")
     found = profile.profile(long, [doc], ["shape"], signed.groupBy("shape").agg(F.count("*").alias("total")))
     mapping = cut(alignment.infer_mapping(found, alignment.target_table(docs.sparkSession, fields), ["shape"]), "mapping")
-    golden = alignment.execute(placed, long, [doc], mapping, fields, ["shape"])
+    golden = cut(alignment.execute(placed, long, [doc], mapping, fields, ["shape"]), "golden")
+    # written, so that a filter on what conforms looks at columns and is not pushed into every conversion
     golden = golden.withColumn("issues", alignment.issues(fields, [f.name for f in fields], "provenance"))
     return golden.withColumn("conformant", alignment.conformant(fields))
 
@@ -165,7 +166,7 @@ def run_batch(plan: Plan, doc: str, rec: str, fields: list[Target], library: Dat
     mine = plan.docs.join(research, "shape", "left_semi")
     fresh = alignment.execute(mine, plan.long, [doc, rec], plan.inferred.join(research, "shape", "left_semi"), fields, ["shape"])
     replay = plan.golden.join(decided.where("pathway = 'replay_clean'").select("shape"), "shape", "left_semi")
-    golden = replay.unionByName(fresh).withColumn("issues", alignment.issues(fields, names, "provenance"))
+    golden = cut(replay.unionByName(fresh), "records").withColumn("issues", alignment.issues(fields, names, "provenance"))
     golden = cut(golden.withColumn("conformant", alignment.conformant(fields)), "golden")
 
     counts = golden.groupBy("shape").agg(F.count_if("conformant").alias("conformed"), F.count_if(~F.col("conformant")).alias("needs_review"))

@@ -13,9 +13,9 @@ STEP = 6  # levels that one plan opens
 BOOKKEEPING = ["internal_id", "_scraped_at"]
 
 
-def json_type(v: Column) -> Column:
-    """null, boolean, integer, number, string, array or object."""
-    t = F.schema_of_variant(v)
+def json_type(v: Column, t: Column | None = None) -> Column:
+    """null, boolean, integer, number, string, array or object; ``t``: the value's schema, where a column has it."""
+    t = F.schema_of_variant(v) if t is None else t
     return (
         F.when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(t == "BIGINT", "integer")
         .when(t.rlike(r"^DECIMAL\([0-9]+,0\)$") & ~F.to_json(v).contains("."), "integer").when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
@@ -67,10 +67,11 @@ def cells(records: DataFrame, ids: list[str], column: str) -> DataFrame:
             leaves, now = now.where(~closed).drop("t"), now.where(closed).drop("t")
             out = leaves if out is None else out.unionByName(leaves)
     out = now if out is None else out.unionByName(now)
-    kind = json_type(F.col("v"))
+    out = out.where("path <> ''").withColumn("_t", F.schema_of_variant("v"))
+    kind = json_type(F.col("v"), F.col("_t"))
     path = F.when(F.col("jtype") == "array", F.concat("path", F.lit("[]"))).otherwise(F.col("path")).alias("path")
     value = F.when(~F.col("jtype").isin("array", "null"), F.coalesce(F.expr("try_variant_get(v, '$', 'string')"), F.to_json("v"))).alias("value")
-    return out.where("path <> ''").withColumn("jtype", kind).where("jtype <> 'object'").select(*ids, path, "pos", "jtype", value)
+    return out.withColumn("jtype", kind).where("jtype <> 'object'").select(*ids, path, "pos", "jtype", value)
 
 
 def totals(records: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -113,14 +114,18 @@ def examples(long: DataFrame, record: list[str], by: list[str] | None = None, ke
 
 def signatures(long: DataFrame, doc: str) -> DataFrame:
     """Each document's shape: normalised paths without bookkeeping fields, their hash, and each path's primary type."""
-    ignored = [text.normalise_path(F.lit(p)) for p in BOOKKEEPING]
-    kinds = long.repartition(doc).groupBy(doc, "path", "jtype").agg(F.count("*").alias("n"))  # one exchange for all four steps
+    kinds = long.repartition(doc).groupBy(doc, "path", "jtype").agg(F.count("*").alias("n"))  # one exchange for all three steps
     primary = kinds.groupBy(doc, "path").agg(F.min(F.struct((-F.col("n")).alias("n"), "jtype")).alias("k"))
-    named = primary.select(doc, "path", text.normalise_path(F.col("path")).alias("norm"), F.col("k.jtype").alias("jtype")).where(~F.col("norm").isin(*ignored))
-    first = named.groupBy(doc, "norm").agg(F.min_by("jtype", "path").alias("jtype"))
-    paths = first.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("norm", "jtype")))).alias("types")).select(doc, F.map_keys("types").alias("paths"), "types")
+    raw = primary.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("path", "k.jtype"))).alias("raw")).withColumn("raw_id", F.sha2(F.to_json("raw"), 256))
+    # names are normalised once for each set of raw paths, not for each document
+    ignored = [text.normalise_path(F.lit(p)) for p in BOOKKEEPING]
+    each = raw.groupBy("raw_id").agg(F.first("raw").alias("raw")).select("raw_id", F.explode("raw").alias("x"))
+    named = each.select("raw_id", F.col("x.path").alias("path"), text.normalise_path(F.col("x.path")).alias("norm"), F.col("x.jtype").alias("jtype")).where(~F.col("norm").isin(*ignored))
+    first = named.groupBy("raw_id", "norm").agg(F.min_by("jtype", "path").alias("jtype"))
+    shapes = first.groupBy("raw_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("norm", "jtype")))).alias("types")).select("raw_id", F.map_keys("types").alias("paths"), "types")
     listed = F.concat(F.lit('["'), F.array_join("paths", '", "'), F.lit('"]'))
-    return paths.withColumn("shape", F.substring(F.sha2(listed, 256), 1, 16))
+    shapes = shapes.withColumn("shape", F.substring(F.sha2(listed, 256), 1, 16))
+    return raw.select(doc, "raw_id").join(shapes, "raw_id").select(doc, "paths", "types", "shape")
 
 
 def clusters(signed: DataFrame, doc: str) -> DataFrame:

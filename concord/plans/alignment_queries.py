@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from concord.functions import text
 from concord.functions.convert import Target
 from concord.operators import alignment, batch, generate, profile, scoring, vocabulary
-from concord.plans.catalog import ORDER_FIELDS, order_records
+from concord.plans.orders import ORDER_FIELDS, order_records
 from concord.plans.registry import query, table
 from concord.plans.storage import cut
 

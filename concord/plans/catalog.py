@@ -8,37 +8,18 @@ from pyspark.sql import functions as F
 from concord.functions import convert, text
 from concord.functions.convert import Target
 from concord.operators import alignment, batch, layout, library, profile, reconcile, reports, retrieval, scoring
-from concord.plans.storage import cut
+from concord.plans.orders import ORDER_FIELDS, order_records
 from concord.plans.registry import ORACLE, QUERIES, query, table
+from concord.plans.storage import cut
 from concord.sources import files
 
 __all__ = ["ORACLE", "QUERIES"]
 
+
 def _r(x: F.Column | str, n: int = 6) -> F.Column:
     return F.round(x, n)
 
 
-ORDER_FIELDS = [
-    Target("orderId", ["integer"], True),
-    Target("customerName", ["string"], True),
-    Target("totalPrice", ["number"], minimum=0),
-    Target("orderStatus", ["string"], enum=["F", "O", "P"]),
-    Target("orderDate", ["string"], format="date"),
-    Target("tags", ["array"]),
-]
-
-
-def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as JSON in three styles: golden names, renamed, nested."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    day, tags = F.date_format("o_orderdate", "yyyy-MM-dd"), F.split("o_orderpriority", "-")
-    o = o.select("o_orderkey", "c_name", "o_totalprice", "o_orderstatus", day.alias("day"), tags.alias("tags"), (F.col("o_orderkey") % 3).alias("style"))
-    golden = F.to_json(F.struct(F.col("o_orderkey").alias("orderId"), F.col("c_name").alias("customerName"), F.col("o_totalprice").alias("totalPrice"), F.col("o_orderstatus").alias("orderStatus"), F.col("day").alias("orderDate"), "tags"))
-    renamed = F.to_json(F.struct(F.col("o_orderkey").alias("order_id"), F.col("c_name").alias("customer_name"), F.col("o_totalprice").cast("string").alias("total_price"), F.col("o_orderstatus").alias("order_status"), F.date_format(F.to_date("day"), "yyyy/MM/dd").alias("order_date"), F.array_join("tags", ";").alias("tags")))
-    nested = F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("orderId"), F.col("day").alias("orderDate"), F.col("o_orderstatus").alias("orderStatus")).alias("header"), F.struct(F.col("c_name").alias("customerName")).alias("party"), F.struct(F.col("o_totalprice").alias("totalPrice")).alias("sums"), "tags"))
-    return o.select("o_orderkey", "style", F.when(F.col("style") == 0, golden).when(F.col("style") == 1, renamed).otherwise(nested).alias("record"))
-
-
 @query("""
 SELECT o_orderkey, o_orderkey AS "orderId", c_name AS "customerName", round(o_totalprice, 6) AS "totalPrice", o_orderstatus AS "orderStatus",
   strftime(o_orderdate, '%Y-%m-%d') AS "orderDate", replace(o_orderpriority, '-', ';') AS "tags"
@@ -556,3 +537,11 @@ def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from concord.plans import alignment_queries, edit_queries, intake_queries, layout_queries, library_queries, reconcile_queries, state_queries  # noqa: E402, F401  they list more queries
+
+_PARTS = ["resolve_units", "reconcile_tables", "reconcile_graphics", "page_furniture"]
+
+
+@query("WITH u AS (" + " UNION ALL ".join(f"SELECT status FROM ({ORACLE[p]})" for p in _PARTS) + ") SELECT status, count(*) AS n FROM u GROUP BY 1 UNION ALL SELECT 'total_units', count(*) FROM u")
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole report: fields, tables, figures and page elements as units, tallied."""
+    return reconcile.summary(reconcile.report({p: QUERIES[p](spark, sf_dir) for p in _PARTS}))
