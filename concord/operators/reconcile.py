@@ -133,6 +133,25 @@ def shared_words(left: DataFrame, right: DataFrame, a: str, b: str, words: str)
     return l.join(r, "_w").groupBy(a, b).agg(F.count("*").alias("shared"))
 
 
+def word_sets(rows: DataFrame, key: str, words: str) -> DataFrame:
+    """Each key with its distinct words, sorted, as ``_set``; a key of several rows has the words of all."""
+    return rows.select(key, F.explode(words).alias("_w")).groupBy(key).agg(F.array_sort(F.collect_set("_w")).alias("_set"))
+
+
+def dominant_by_words(left: DataFrame, right: DataFrame, a: str, b: str, words: str, least: int = 2) -> DataFrame:
+    """``a, b, shared``: each left side's dominant match by shared words.
+
+    Sets of words are matched, not rows: what several left sides say is looked up once, and right sides
+    of one set are one candidate, which ties with itself and so is nobody's match.  The work grows with
+    pairs of distinct sets that share a word, however many rows have them.
+    """
+    l, r = word_sets(left, a, words), word_sets(right, b, words)  # noqa: E741
+    said = l.select("_set", F.col("_set").alias(words)).distinct()
+    kinds = r.groupBy("_set").agg(F.count("*").alias("_n"), F.min(b).alias("_b")).select(F.struct("_b", "_n").alias("_kind"), F.col("_set").alias(words))
+    best = dominant_match(shared_words(said, kinds, "_set", "_kind", words), "_set", "_kind", "shared", least).where("_kind._n = 1")
+    return l.join(best, "_set").select(a, F.col("_kind._b").alias(b), "shared")
+
+
 def reconcile_graphics(required: DataFrame, placed: DataFrame, relabels: DataFrame) -> DataFrame:
     """``required(graphic_id, section, name)``, ``placed(name, section, ord)``, ``relabels(section, new_value, old_value)``: a relabel to the right name beats insertion, insertion beats a move."""
     last = placed.groupBy("name").agg(F.max_by("section", "ord").alias("placed_section"))

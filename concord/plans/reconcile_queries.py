@@ -138,7 +138,7 @@ def ground_relabels(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(p.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     said = li.groupBy(F.col("l_orderkey").alias("fb")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", F.lower("p_name").alias("n")))), lambda x: x.n), " and the ").alias("b"))
     said = said.select("fb", reconcile.content_words(F.concat(F.lit("Subject: nothing of this\nThe FIGURE is wrong: please use "), "b")).alias("w"))
-    return reconcile.dominant_match(reconcile.shared_words(said, figures, "fb", "fig", "w"), "fb", "fig", "shared").select("fb", "fig", "shared")
+    return reconcile.dominant_by_words(said, figures, "fb", "fig", "w")
 
 
 @query("""
